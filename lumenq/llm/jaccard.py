@@ -246,9 +246,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = saved(join(docs, id_col, text_col), "found")
     gone = found.where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
     again = found.where("n_links > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("doc_id_"))
-    kept = docs.join(gone.withColumnRenamed("doc_id", "doc_id_"), on, "left_anti")
-    repeated = saved(again.withColumnRenamed("doc_id", "doc_id_"), "again")
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("_lq_id"))
+    kept = docs.join(gone.withColumnRenamed("doc_id", "_lq_id"), on, "left_anti")
+    repeated = saved(again.withColumnRenamed("doc_id", "_lq_id"), "again")
     if repeated.isEmpty():
         return kept
     return kept.join(repeated, on, "left_anti").unionByName(kept.join(repeated, on, "left_semi").dropDuplicates([id_col, text_col]))

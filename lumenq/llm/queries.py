@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, langid, quality, secrets, sharding, suffix
+from . import decontam, jaccard, langid, lm, mixing, quality, secrets, sharding, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +17,31 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after two edits of every text: new words in its middle, and a new beginning."""
+    middle = F.floor(F.length("text") / 2).cast("int")
+    edit = lambda start, end, new: F.struct(start.alias("start"), end.alias("end"), F.lit(new).alias("replacement"))
+    edits = F.array(edit(middle, middle + 12, " rewritten here "), edit(F.lit(0), F.lit(3), "Title: "))
+    return tokens.count(_table(spark, sf_dir, "documents"), edits)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +59,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op4_quality_rules, op7_ngram_jaccard_join, op8_sharding,
-    op9_suffix_array_dedup, op10_secret_scans,
+    op1_language_id, op2_mixing_sources, op3_lm_scoring, op4_quality_rules, op5_benchmark_decontamination,
+    op6_token_counts, op7_ngram_jaccard_join, op8_sharding, op9_suffix_array_dedup, op10_secret_scans,
 )}
 ORACLES: dict[str, str] = {}
