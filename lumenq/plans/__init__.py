@@ -1 +1,4 @@
-"""Document-image and text analytics on Spark DataFrames."""
+"""Registered queries over the driver's tables."""
+
+from . import text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
