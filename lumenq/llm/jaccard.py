@@ -34,6 +34,8 @@ from .shared import Prefix, chunks, lowered, mix, release, runs, saved, separato
 SHINGLE, THRESHOLD, ROWS, BANDS, TOLERANCE = 5, 0.8, 6, 40, 1e-6
 #: Members of a block; candidate rows (of 32 bytes) up to which they are broadcast.
 BLOCK, BROADCAST_ROWS = 512, 500_000
+#: Ids (of 8 bytes) up to which those to remove are broadcast.
+GONE_ROWS = 2_000_000
 #: MinHash values compared after each step.
 STEPS = (16, 32, 64, 128, ROWS * BANDS)
 
@@ -244,11 +246,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of each class but its smallest id go; the columns stay. Of rows
     that repeat an id that stays, all equal ones but one go as well."""
     found = saved(join(docs, id_col, text_col), "found")
-    gone = found.where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    again = found.where("n_links > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    gone = saved(found.where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_lq_id")).distinct(), "gone")
+    again = saved(found.where("n_links > 0").groupBy(F.col("doc_id").alias("_lq_id")).agg(F.count("*").alias("n")).where("n > 1").select("_lq_id"), "again")
     on = F.col(id_col).cast("long").eqNullSafe(F.col("_lq_id"))
-    kept = docs.join(gone.withColumnRenamed("doc_id", "_lq_id"), on, "left_anti")
-    repeated = saved(again.withColumnRenamed("doc_id", "_lq_id"), "again")
-    if repeated.isEmpty():
+    # ids only, if there are not too many of them; else texts are shuffled
+    kept = docs.join(F.broadcast(gone) if gone.count() <= GONE_ROWS else gone, on, "left_anti")
+    if again.isEmpty():
         return kept
-    return kept.join(repeated, on, "left_anti").unionByName(kept.join(repeated, on, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates([id_col, text_col]))
