@@ -62,7 +62,7 @@ def to_centre(a: Column, width: Column, height: Column) -> Column:
 
 def polygon_box(points: Column) -> Column:
     """Bounding box of an array of points (x, y) in whole pixels, the last one included."""
-    xs, ys = (F.transform(points, lambda p, c=c: p[c].cast("int")) for c in "xy")
+    xs, ys = F.transform(points, lambda p: p["x"].cast("int")), F.transform(points, lambda p: p["y"].cast("int"))
     return box(F.array_min(xs), F.array_min(ys), F.array_max(xs) + 1, F.array_max(ys) + 1, "int")
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 WEIGHT, FLOOR, UNSEEN, BLANK = 0.3, 1e-9, 1e-6, "_"
 CANDS = "array<array<struct<label:string,conf:double>>>"
 
@@ -114,14 +116,16 @@ def line_texts(chars: DataFrame, keys: list[str], bigrams: dict[str, float] | No
         share = math.log(lexicon.get(word, 0) + 1) / math.log(top + 1) if top else 0.0
         return (in_lexicon if word in members else 0.0) + by_frequency * share
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([paw, char], kind="stable")
-        paws = [_listed(g["cands"]) for _, g in frame.groupby(paw, sort=True)]
-        text = unicodedata.normalize("NFC", " ".join(line_words(paws, bigrams, bonus)))
-        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, "text": [text]})
+    def fold(rows: list[dict]) -> list[dict]:
+        paws: dict = {}
+        for r in rows:
+            paws.setdefault(r[paw], []).append([(c["label"], float(c["conf"])) for c in r["cands"] or []])
+        text = unicodedata.normalize("NFC", " ".join(line_words(list(paws.values()), bigrams, bonus)))
+        return [{**{k: rows[0][k] for k in keys}, "text": text}]
 
     kind = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", text string"
-    return chars.select(*keys, paw, char, F.col("cands").cast("array<struct<label:string,conf:double>>").alias("cands")).groupBy(*keys).applyInPandas(run, kind)
+    flat = chars.select(*keys, paw, char, F.col("cands").cast("array<struct<label:string,conf:double>>").alias("cands"))
+    return folded(flat, keys, [paw, char], fold, kind)
 
 
 class Lexicon:

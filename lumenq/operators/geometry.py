@@ -7,12 +7,12 @@ so no operator here sees more than one key's rows together.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import boxes as bx
+from .folds import folded
 
 
 def iou_join(a: DataFrame, b: DataFrame, key: str, threshold: float, cell: int = 64, left: str = "a", right: str = "b") -> DataFrame:
@@ -169,32 +169,31 @@ def assemble_text(words: DataFrame, page: list[str], line: str, x: str, text: st
     return lines.groupBy(*page).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(line, "_t"))), lambda s: s["_t"]), "\n").alias("text"))
 
 
-def _region_lines(frame: pd.DataFrame, share: float) -> pd.Series:
-    """Line number of each region: by centre, against the mean of the line so far."""
-    order = frame.sort_values(["cy", "region"], kind="stable").index
-    reach = frame["height"].mean() * share
-    line, out = 0, {}
-    total, n = 0.0, 0
-    for k in order:
-        cy = frame.at[k, "cy"]
-        if n and abs(cy - total / n) > reach:
+def region_line_numbers(cy: list[float], height: list[float], share: float) -> list[int]:
+    """Line number of each region in centre order: a region joins the line if it
+    is near the mean centre of the line so far."""
+    reach = sum(height) / max(len(height), 1) * share
+    line, total, n, out = 0, 0.0, 0, []
+    for c in cy:
+        if n and abs(c - total / n) > reach:
             line, total, n = line + 1, 0.0, 0
-        total, n = total + cy, n + 1
-        out[k] = line
-    return pd.Series(out)
+        total, n = total + c, n + 1
+        out.append(line)
+    return out
 
 
 def region_lines(regions: DataFrame, key: str, share: float = 0.6) -> DataFrame:
-    """``key, region, line_idx`` for regions with a polygon: one image's regions are folded together."""
-    ys, xs = (F.transform("polygon", lambda p, c=c: p[c].cast("double")) for c in "yx")
+    """``key, region, cx, line_idx`` for regions with a polygon: one image's regions are folded together."""
+    xs, ys = F.transform("polygon", lambda p: p["x"].cast("double")), F.transform("polygon", lambda p: p["y"].cast("double"))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
     flat = regions.select(key, "region", mean(xs).alias("cx"), mean(ys).alias("cy"), (F.array_max(ys) - F.array_min(ys)).alias("height"))
-    kind = f"{key} {dict(regions.dtypes)[key]}, region {dict(regions.dtypes)['region']}, cx double, line_idx int"
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame[[key, "region", "cx"]].assign(line_idx=_region_lines(frame, share))
+    def fold(rows: list[dict]) -> list[dict]:
+        lines = region_line_numbers([r["cy"] for r in rows], [r["height"] for r in rows], share)
+        return [{key: r[key], "region": r["region"], "cx": r["cx"], "line_idx": n} for r, n in zip(rows, lines, strict=True)]
 
-    return flat.groupBy(key).applyInPandas(fold, kind)
+    types = dict(regions.dtypes)
+    return folded(flat, [key], ["cy", "region"], fold, f"`{key}` {types[key]}, region {types['region']}, cx double, line_idx int")
 
 
 def region_text(regions: DataFrame, key: str, share: float = 0.6) -> DataFrame:
@@ -203,7 +202,7 @@ def region_text(regions: DataFrame, key: str, share: float = 0.6) -> DataFrame:
     return assemble_text(placed, [key], "line_idx", "cx", "text")
 
 
-def _clusters(points: np.ndarray, reach: float) -> np.ndarray:
+def clusters(points: np.ndarray, reach: float) -> np.ndarray:
     """Smallest member of each point's cluster."""
     near = np.hypot(points[:, None, 0] - points[None, :, 0], points[:, None, 1] - points[None, :, 1]) <= reach
     root = np.arange(len(points))
@@ -218,16 +217,16 @@ def cluster_dots(points: DataFrame, key: str, reach: float, baseline: Column) ->
     """Points (cx, cy) of one key that hang together within ``reach``: mean
     centre, size, and above or below the baseline. One sub-word's dots are few."""
     flat = points.select(key, F.col("cx").cast("double"), F.col("cy").cast("double"), baseline.cast("double").alias("base"))
-    kind = f"{key} {dict(points.dtypes)[key]}, cx double, cy double, cluster_size int, position string"
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        root = _clusters(frame[["cx", "cy"]].to_numpy(float), reach)
-        out = frame.groupby(root).agg(cx=("cx", "mean"), cy=("cy", "mean"), cluster_size=("cx", "size"), base=("base", "first"))
-        out[key] = frame[key].iloc[0]
-        out["position"] = np.where(out["cy"] < out["base"], "above", "below")
-        return out[[key, "cx", "cy", "cluster_size", "position"]]
+    def fold(rows: list[dict]) -> list[dict]:
+        at = np.array([(r["cx"], r["cy"]) for r in rows])
+        root, out = clusters(at, reach), []
+        for r in np.unique(root):
+            cx, cy = at[root == r].mean(0)
+            out.append({key: rows[0][key], "cx": float(cx), "cy": float(cy), "cluster_size": int((root == r).sum()), "position": "above" if cy < rows[r]["base"] else "below"})
+        return out
 
-    return flat.groupBy(key).applyInPandas(fold, kind)
+    return folded(flat, [key], ["cx", "cy"], fold, f"`{key}` {dict(points.dtypes)[key]}, cx double, cy double, cluster_size int, position string")
 
 
 def dot_features(dots: Column) -> Column:

@@ -37,7 +37,7 @@ def missing(truth: DataFrame, result: DataFrame, key: str) -> DataFrame:
 def confusion(rows: DataFrame, truth: str, predicted: str, labels: list) -> DataFrame:
     """One row per truth label of ``labels``, one column per predicted one."""
     frame = rows.sparkSession.createDataFrame([(x,) for x in labels], f"{truth} {dict(rows.dtypes)[truth]}")
-    counts = rows.where(F.col(truth).isin(labels)).groupBy(truth).pivot(predicted, labels).agg(F.count("*"))
+    counts = rows.where(F.col(truth).isin(labels)).groupBy(truth).pivot(predicted, labels).agg(F.count(F.lit(1)))
     return frame.join(counts, truth, "left").na.fill(0)
 
 
