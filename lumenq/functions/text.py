@@ -27,7 +27,7 @@ def body_between(text: Column, start: str, end: str) -> Column:
     whole text where a marker is missing; line ends as ``\\n``."""
     unix = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\r", "\n")
     tail = F.regexp_replace(unix, rf"(?s)\A.*?{start}[^\n]*\n", "")
-    return F.trim(F.regexp_replace(tail, rf"(?s){end}.*\z", ""))
+    return F.regexp_replace(F.regexp_replace(tail, rf"(?s){end}.*\z", ""), r"\A\s+|\s+\z", "")
 
 
 def label_from_filename(stem: Column) -> Column:

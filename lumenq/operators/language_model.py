@@ -83,7 +83,8 @@ def as_map(bigrams: DataFrame) -> dict[str, float]:
 def to_json(bigrams: DataFrame) -> DataFrame:
     """One row: {first: {second: p}}."""
     firsts = bigrams.groupBy("a").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("b", "p")))).alias("nexts"))
-    return firsts.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("a", "nexts"))))).alias("json"))
+    by_letter = lambda x, y: F.when(x["a"] < y["a"], -1).when(x["a"] > y["a"], 1).otherwise(0)
+    return firsts.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("a", "nexts")), by_letter))).alias("json"))
 
 
 def from_json(frame: DataFrame, column: str = "json") -> DataFrame:

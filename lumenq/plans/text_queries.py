@@ -245,7 +245,7 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("doc_id", tx.clean_line(F.col("line")).alias("line"), "k")
 
 
-@query("""SELECT page_id, CASE WHEN strpos(tail, '</body>') > 0 THEN trim(left(tail, strpos(tail, '</body>') - 1)) ELSE trim(tail) END AS body FROM (
+@query(r"""SELECT page_id, regexp_replace(CASE WHEN strpos(tail, '</body>') > 0 THEN left(tail, strpos(tail, '</body>') - 1) ELSE tail END, '^\s+|\s+$', '', 'g') AS body FROM (
  SELECT page_id, substr(html, strpos(html, '<body>') + 6) AS tail FROM pages WHERE strpos(html, '<body>') > 0)""")
 def body_between_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").where(F.contains("html", F.lit("<body>")))
