@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import candidates as cd
 from ..operators import images, language_model, ml
 from ..operators.kernels import imaging as im
+from ..operators.kernels import layout, pages, segment
 from ..sources.tables import table
 from . import pipelines
 from .registry import query
@@ -81,6 +82,18 @@ def image_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.text_frames(drawn_pages(spark, sf_dir), ["item_id"]).select("item_id", "frame_idx", "box", "h", "w")
 
 
+@query()
+def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks between gaps, and lines by baseline, of every page."""
+
+    def kernel(img, _):
+        gray = im.gray(img)
+        height = segment.character_height(gray, 50, 5)
+        return [{"blocks": len(layout.blocks(img)), "lines": len(layout.baseline_lines(gray, height)), "angle": pages.orientation(gray)}]
+
+    return images.each(drawn_pages(spark, sf_dir), ["item_id"], kernel, "blocks int, lines int, angle double")
+
+
 @query()
 def arabic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = images.arabic_characters(images.arabic_pages(drawn_pages(spark, sf_dir), ["item_id"]), ["item_id"])
