@@ -45,8 +45,10 @@ def _pairs(words: Column) -> Column:
 
 
 def bigram_counts(corpus: DataFrame, column: str = "text", pattern: str = tx.LATIN) -> DataFrame:
-    """Pairs within tokens of two letters or more."""
-    grams = corpus.select(F.explode(_pairs(tx.tokens(F.col(column), pattern))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    """Pairs within tokens of two letters or more: words are counted first, so
+    that pairs are taken once from each distinct word."""
+    counts = frequencies(corpus, column, pattern).select(F.explode(_pairs(F.array("word"))).alias("g"), "n")
+    grams = counts.groupBy("g").agg(F.sum("n").alias("n"))
     return grams.select(F.substring("g", 1, 1).alias("a"), F.substring("g", 2, 1).alias("b"), "n")
 
 
