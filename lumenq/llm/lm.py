@@ -8,10 +8,9 @@ probability of the whole text on the same footing as the base score.
 
 Counts cover every training token: one row per distinct token of a batch is
 shuffled. Training is truncated back-propagation in numpy where the data are:
-in each round every task trains on its share of the pieces of every training
-text (each text is cut into pieces of PIECE tokens, one in STRIDE is used in a
-round, another one in the next), and the tasks' weights are averaged by a tree
-of small aggregations, so what is learned from grows with the corpus. Scoring
+every text outside the held fold is cut into pieces of PIECE tokens, which are
+dealt over the ROUNDS in turn, so that each training token is read once. After
+a round the tasks' weights are averaged by a tree of small aggregations. Scoring
 packs whole texts into lanes and carries the state from window to window to
 the end of each text. Counts of the HEAD most frequent tokens are broadcast
 (fixed size); the others are joined by a shuffle of (row, rare token).
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import Prefix, chunks, find, lowered, mix, remainder, runs, saved, separators, text_bytes
 
 MODEL_WORDS, TAIL, CLASSES, HIDDEN, HEAD = 2048, 32, 48, 24, 1 << 18
-PIECE, STRIDE, ROUNDS, STEPS, LANES, RATE = 64, 8, 2, 16, 64, 0.01
+PIECE, ROUNDS, STEPS, LANES, RATE = 64, 2, 16, 64, 0.01
 SCORE_LANES, WINDOW = 512, 64
 END = np.uint64(0x5E4D0FE4D)
 _KINDS = TAIL  # the end token has a bucket of its own
@@ -337,10 +336,10 @@ def learn(texts: DataFrame) -> tuple[Vocabulary, dict, DataFrame]:
             for batch in batches:
                 keys, kinds, cuts = tokens(batch.column(0))
                 symbol = v.symbols(keys, kinds)[0]
-                # every text gives its first piece in one of STRIDE rounds, by a hash of its length and end
-                shift = (mix(np.diff(cuts).astype(np.uint64) ^ keys[np.maximum(cuts[1:] - 2, 0)]) % np.uint64(STRIDE)).astype(np.int64) if len(keys) else []
+                # a text's pieces take turns; the round of its first one is by a hash of its length and end
+                shift = (mix(np.diff(cuts).astype(np.uint64) ^ keys[np.maximum(cuts[1:] - 2, 0)]) % np.uint64(ROUNDS)).astype(np.int64) if len(keys) else []
                 for k in range(len(cuts) - 1):
-                    for a in range(int(cuts[k]) + PIECE * int((turn + shift[k]) % STRIDE), int(cuts[k + 1]), PIECE * STRIDE):
+                    for a in range(int(cuts[k]) + PIECE * int((turn + shift[k]) % ROUNDS), int(cuts[k + 1]), PIECE * ROUNDS):
                         held.append(symbol[a : min(a + PIECE, int(cuts[k + 1]))])
                         size += len(held[-1])
                         if size >= LANES * PIECE * 16:

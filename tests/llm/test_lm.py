@@ -99,5 +99,20 @@ def test_state_is_carried_over_windows(monkeypatch):
     assert np.allclose(whole, one, atol=1e-3)
 
 
+def test_every_training_token_is_learned_from_once(spark, monkeypatch):
+    rounds, averaged = [], lm._averaged
+
+    def counted(trained, tasks):
+        rounds.append(sum(r["n"] for r in trained.select("n").collect()))
+        return averaged(trained, tasks)
+
+    monkeypatch.setattr(lm, "_averaged", counted)
+    for length in (5, 64, 700):  # less than a piece, one and two pieces with the end token, many
+        rounds.clear()
+        data = [(" ".join(f"w{(i * 7 + k * k) % 50}" for k in range(length)),) for i in range(24)]
+        vocabulary, _, _ = lm.learn(spark.createDataFrame([*data, (None,), ("",)], "text string"))
+        assert sum(rounds) == vocabulary.total == 24 * (length + 1) + 2
+
+
 def test_empty(spark):
     assert lm.score(spark.createDataFrame([], SCHEMA)).count() == 0
