@@ -173,14 +173,19 @@ _PAIRS = """SELECT a.conv_id * 1000 + a.turn AS pair_id, left(regexp_replace(a.t
  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    cut = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 400)
-    a = turns.select("conv_id", "turn", cut.alias("truth"))
-    b = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), cut.alias("result"))
+    a = turns.select("conv_id", "turn", F.col("text").alias("truth"))
+    b = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("result"))
     return a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "truth", "result")
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of ``_PAIRS``: first 400 printable ASCII characters, as its SQL has them."""
+    cut = lambda c: F.substring(F.regexp_replace(c, "[^ -~]", ""), 1, 400).alias(c)
+    return _whole_pairs(spark, sf_dir).select("pair_id", cut("truth"), cut("result"))
+
+
 _T, _R = _NORM.format("truth"), _NORM.format("result")
 
 
@@ -204,12 +209,12 @@ def word_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.text_pairs(_pairs(spark, sf_dir), "pair_id").select("pair_id", F.round("wer", 9).alias("wer"), "truth_words", "result_words")
+    return metrics.text_pairs(_whole_pairs(spark, sf_dir), "pair_id").select("pair_id", F.round("wer", 9).alias("wer"), "truth_words", "result_words")
 
 
 @query()
 def evaluation_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = metrics.text_pairs(_pairs(spark, sf_dir), "pair_id")
+    scores = metrics.text_pairs(_whole_pairs(spark, sf_dir), "pair_id")
     return metrics.macro_average(scores, "recall", "cer", "wer").select("n", *[F.round(c, 9).alias(c) for c in ("recall", "cer", "wer")])
 
 
