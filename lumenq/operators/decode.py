@@ -28,17 +28,21 @@ def beams(cands: list, bigrams: dict[str, float] | None, width: int = 5) -> list
     """The ``width`` best paths position by position; of equal scores the earlier one."""
     kept: list[tuple[float, list[str]]] = [(0.0, [])] if cands else []
     for options in cands:
-        grown = []
-        for score, path in kept:
-            for label, conf in options:
-                step = _emit(conf)
-                if path and bigrams is not None:
-                    step += WEIGHT * math.log(bigrams.get(path[-1] + label, UNSEEN))
-                grown.append((score + step, [*path, label]))
-        kept = sorted(grown, key=lambda x: -x[0])[:width]
+        kept = _grown(kept, options, bigrams, width)
     return kept
 
 
+def _grown(kept: list[tuple[float, list[str]]], options: list, bigrams: dict[str, float] | None, width: int) -> list[tuple[float, list[str]]]:
+    grown = []
+    for score, path in kept:
+        for label, conf in options:
+            step = _emit(conf)
+            if path and bigrams is not None:
+                step += WEIGHT * math.log(bigrams.get(path[-1] + label, UNSEEN))
+            grown.append((score + step, [*path, label]))
+    return sorted(grown, key=lambda x: -x[0])[:width]
+
+
 def viterbi(cands: list, bigrams: dict[str, float]) -> tuple[list[str], float]:
     """The best path of all, and its score; the first of equal ones."""
     if not cands:
@@ -88,19 +92,21 @@ def viterbi_text(cands: Column, bigrams: dict[str, float]) -> Column:
 def line_words(paws: list[list], bigrams: dict[str, float] | None, bonus, longest: int = 8, width: int = 50, penalty: float = 0.0) -> list[str]:
     """Sub-words of a line to words: every run of up to ``longest`` of them is
     decoded, the split with the best total score wins. ``bonus`` scores a word."""
-    best: list[tuple[float, list[str]]] = [(0.0, [])]
-    for i in range(1, len(paws) + 1):
-        top: tuple[float, list[str]] | None = None
-        for j in range(max(0, i - longest), i):
+    best: list[tuple[float, list[str]] | None] = [(0.0, []), *[None] * len(paws)]
+    for j in range(len(paws)):
+        before = best[j]
+        kept, begun = [(0.0, [])], False
+        for i in range(j + 1, min(j + longest, len(paws)) + 1):  # a run grows the beams of the one before
+            for options in paws[i - 1]:
+                kept, begun = _grown(kept, options, bigrams, width), True
             word, score = "", -math.inf
-            for s, path in beams([c for p in paws[j:i] for c in p], bigrams, width):
+            for s, path in kept if begun else []:
                 text = "".join(x for x in path if x != BLANK)
                 if s + bonus(text) > score:
                     word, score = text, s + bonus(text)
-            value = best[j][0] + score + (penalty if j else 0.0)
-            if top is None or value > top[0]:
-                top = (value, [*best[j][1], word] if word.strip() else list(best[j][1]))
-        best.append(top if top is not None else best[-1])
+            value = before[0] + score + (penalty if j else 0.0)
+            if best[i] is None or value > best[i][0]:
+                best[i] = (value, [*before[1], word] if word.strip() else list(before[1]))
     return best[-1][1]
 
 

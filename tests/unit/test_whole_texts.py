@@ -28,3 +28,12 @@ def test_metrics_of_whole_texts(spark, tmp_path):
     assert {k: (r.wer, r.truth_words, r.result_words) for k, r in got.items()} == {c * 1000: (round(want[c * 1000][2], 9), len(text[c, 0].split()), len(text[c, 1].split())) for c in (1, 2, 3)}
     mean = QUERIES["evaluation_averages"](spark, str(tmp_path)).first()
     assert (mean.n, mean.recall, mean.cer, mean.wer) == (3, *(round(sum(w[i] for w in want.values()) / 3, 9) for i in range(3)))
+
+
+def test_every_letter_of_an_item_is_decoded(spark, tmp_path):
+    text = "river stone " * 10
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    filler = [chr(97 + i // 676) + chr(97 + i // 26 % 26) + chr(97 + i % 26) + "qz" for i in range(2100)]  # more frequent than the item's words
+    spark.createDataFrame([(" ".join(filler * 3 + ["riverstone"] * 2),)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["word_break"](spark, str(tmp_path)).collect()
+    assert [r.text for r in got] == [" ".join(["riverstone"] * 10)]
