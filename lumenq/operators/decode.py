@@ -188,15 +188,14 @@ def dictionary_text(cands: Column, words: list[str] | None, lock: float = 0.75)
 
 def combinations(rows: DataFrame, key: str, cands: str, prefixes: DataFrame) -> DataFrame:
     """The same search as joins: every position is exploded and cut by a
-    semi-join on the prefix table. For lexicons too large for a task."""
+    semi-join on the prefix table; shorter rows wait unchanged until the longest
+    has ended. For lexicons too large for a task."""
     steps = rows.agg(F.max(F.size(cands))).first()[0] or 0
-    open_ = rows.select(key, F.col(cands).alias("_c"), F.lit("").alias("word"), F.lit(0.0).alias("total"))
-    done = None
+    open_ = rows.select(key, F.col(cands).cast(CANDS).alias("_c"), F.lit("").alias("word"), F.lit(0.0).alias("total")).where(F.size("_c") > 0)
+    wait = F.array(F.struct(F.lit("").alias("label"), F.lit(0.0).alias("conf")))
     for at in range(1, steps + 1):
-        here = open_.where(F.size("_c") >= at)
-        grown = here.select(key, "_c", "word", "total", F.explode(F.element_at("_c", at)).alias("o"))
+        options = F.when(F.size("_c") >= at, F.get("_c", F.lit(at - 1))).otherwise(wait)
+        grown = open_.select(key, "_c", "word", "total", F.explode(options).alias("o"))
         grown = grown.select(key, "_c", F.concat("word", "o.label").alias("word"), (F.col("total") + F.col("o.conf")).alias("total"))
         open_ = grown.join(prefixes.select(F.col("prefix").alias("_p")).distinct(), F.lower("word") == F.col("_p"), "left_semi")
-        ended = open_.where(F.size("_c") == at).select(key, "word", (F.col("total") / at).alias("conf"))
-        done = ended if done is None else done.unionByName(ended)
-    return done if done is not None else open_.select(key, "word", F.col("total").alias("conf"))
+    return open_.select(key, "word", (F.col("total") / F.size("_c")).alias("conf"))

@@ -125,7 +125,7 @@ def candidates_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words as candidates: the letter, its successor and 'e', with fixed noise."""
-    words = language_model.words(table(spark, sf_dir, "benchmark")).distinct().where("length(word) BETWEEN 2 AND 12")
+    words = language_model.words(table(spark, sf_dir, "benchmark")).distinct()
     letters = F.filter(F.split("word", ""), lambda c: c != "")
 
     def options(c, i):
@@ -163,7 +163,7 @@ def dictionary_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dictionary_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same words by semi-joins on the prefix table."""
-    rows = _noisy(spark, sf_dir).where("length(word) <= 6").withColumnRenamed("word", "truth")
+    rows = _noisy(spark, sf_dir).withColumnRenamed("word", "truth")
     lexicon = language_model.words(table(spark, sf_dir, "benchmark")).distinct()
     prefixes = lexicon.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("word")), lambda n: F.substring("word", F.lit(1), n))).alias("prefix"))
     found = decode.combinations(rows, "truth", "cands", prefixes)

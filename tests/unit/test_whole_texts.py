@@ -37,3 +37,15 @@ def test_every_letter_of_an_item_is_decoded(spark, tmp_path):
     spark.createDataFrame([(" ".join(filler * 3 + ["riverstone"] * 2),)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["word_break"](spark, str(tmp_path)).collect()
     assert [r.text for r in got] == [" ".join(["riverstone"] * 10)]
+
+
+def test_words_of_any_length_are_decoded(spark, tmp_path):
+    words = ["a", "sea", "stones", "mountains", "neighbourhoods", "characteristically"]
+    spark.createDataFrame([(1, " ".join(words))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(" ".join(words),)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    one = {r.word: (r.text, r.conf) for r in QUERIES["dictionary_decode"](spark, str(tmp_path)).collect()}
+    joined = {r.text: r.conf for r in QUERIES["dictionary_joins"](spark, str(tmp_path)).collect()}
+    assert set(one) == set(joined) == set(words)
+    assert all(one[w] == (w, joined[w]) for w in words)
+    for name in ("beam_search", "viterbi"):
+        assert {r.word for r in QUERIES[name](spark, str(tmp_path)).collect()} == set(words)
