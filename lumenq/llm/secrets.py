@@ -26,8 +26,8 @@ ASSIGN_HIT = ASSIGN_HEAD + r"[A-Za-z0-9+/_.=-]{12,}"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Weak parts and the reach of a scope, in characters.
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/]{0,63}[0-9])(?=[a-z0-9+/]{0,63}[A-Z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/_.=-])"
-ENDPOINT = r"""(?:https?|s3|ftp)://[A-Za-z0-9][^\x00-\x20"'<>|]{3,200}"""
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+ENDPOINT = r"""(?:https?|s3|ftp)://[A-Za-z0-9][^\x00-\x20"'<>|]{3,}"""
 SCOPE = 400
 KINDS = {"assign": 0, "access": 1, "hex": 2, "weak_secret": 3, "endpoint": 4}
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
