@@ -20,6 +20,7 @@ from . import pipelines
 from .registry import query
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+PAGE = ["item_id", "page_idx"]
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
@@ -54,19 +55,40 @@ def page(text: str, columns: int = 28, scale: int = 4) -> np.ndarray:
     return np.repeat(out[..., None], 3, 2)
 
 
+def page_texts(text: str | None, size: int = 100, columns: int = 28) -> list[str]:
+    """All letters of a text in pages of at most ``size`` characters, by whole words
+    (those longer than a line in parts); an empty text has one empty page."""
+    letters = "".join(c for c in (text or "").lower() if c in ALPHABET + " ")
+    out = [""]
+    for word in (w[i : i + columns] for w in letters.split() for i in range(0, len(w), columns)):
+        if out[-1] and len(out[-1]) + 1 + len(word) > size:
+            out.append(word)
+        else:
+            out[-1] = f"{out[-1]} {word}".strip()
+    return out
+
+
 def _draw(batches):
     import pyarrow as pa
 
     for batch in batches:
-        made = [{"item_id": k, **images.pack(page("".join(c for c in (t or "").lower() if c in ALPHABET + " ")[:100]))} for k, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-        if made:
-            yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("item_id", pa.int64()), ("h", pa.int32()), ("w", pa.int32()), ("channels", pa.int32()), ("px", pa.binary())]))
+        for k, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            made = [{"item_id": k, "page_idx": i, **images.pack(page(part))} for i, part in enumerate(page_texts(t))]
+            yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("item_id", pa.int64()), ("page_idx", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("channels", pa.int32()), ("px", pa.binary())]))
 
 
 def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page holds the first 100 letters and spaces of an item: the size of a page.
+    """A page holds 100 letters and spaces of an item, the next page goes on from there.
     Few rows, much work on each: they are dealt out first."""
-    return spread(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id").mapInArrow(_draw, f"item_id long, {images.IMAGE}")
+    return spread(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id").mapInArrow(_draw, f"item_id long, page_idx int, {images.IMAGE}")
+
+
+def of_items(spark: SparkSession, sf_dir: str, read) -> DataFrame:
+    """``item_id`` and the texts that ``read`` makes of pages by ``page_id``, a line end between pages."""
+    found = read(drawn_pages(spark, sf_dir).withColumn("page_id", F.col("item_id") * 1_000_000 + F.col("page_idx")), "page_id")
+    names = [c for c in found.columns if c != "page_id"]
+    rows = found.groupBy(F.floor(F.col("page_id") / 1_000_000).cast("long").alias("item_id")).agg(F.sort_array(F.collect_list(F.struct("page_id", *names))).alias("p"))
+    return rows.select("item_id", *[F.array_join(F.col(f"p.{c}"), "\n").alias(c) for c in names])
 
 
 def letter_model(spark: SparkSession) -> ml.Classifier:
@@ -79,7 +101,7 @@ def letter_model(spark: SparkSession) -> ml.Classifier:
 
 @query()
 def image_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.text_frames(drawn_pages(spark, sf_dir), ["item_id"]).select("item_id", "frame_idx", "box", "h", "w")
+    return images.text_frames(drawn_pages(spark, sf_dir), PAGE).select(*PAGE, "frame_idx", "box", "h", "w")
 
 
 @query()
@@ -91,19 +113,19 @@ def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
         height = segment.character_height(gray, 50, 5)
         return [{"blocks": len(layout.blocks(img)), "lines": len(layout.baseline_lines(gray, height)), "angle": pages.orientation(gray)}]
 
-    return images.each(drawn_pages(spark, sf_dir), ["item_id"], kernel, "blocks int, lines int, angle double")
+    return images.each(drawn_pages(spark, sf_dir), PAGE, kernel, "blocks int, lines int, angle double")
 
 
 @query()
 def arabic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = images.arabic_characters(images.arabic_pages(drawn_pages(spark, sf_dir), ["item_id"]), ["item_id"])
-    return found.select("item_id", "line_idx", "paw_idx", "char_idx", "x", "y", "position", F.size("dots").alias("n_dots"), "h", "w")
+    found = images.arabic_characters(images.arabic_pages(drawn_pages(spark, sf_dir), PAGE), PAGE)
+    return found.select(*PAGE, "line_idx", "paw_idx", "char_idx", "x", "y", "position", F.size("dots").alias("n_dots"), "h", "w")
 
 
 @query()
 def arabic_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = images.arabic_characters(images.arabic_pages(drawn_pages(spark, sf_dir), ["item_id"]), ["item_id"])
-    feats = images.arabic_features(found, ["item_id", "line_idx", "paw_idx", "char_idx"])
+    found = images.arabic_characters(images.arabic_pages(drawn_pages(spark, sf_dir), PAGE), PAGE)
+    feats = images.arabic_features(found, [*PAGE, "line_idx", "paw_idx", "char_idx"])
     return feats.groupBy("item_id").agg(F.count("*").alias("characters"), F.min(F.size("features")).alias("length"))
 
 
@@ -111,7 +133,7 @@ def arabic_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latin_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to text with the items' own words as the lexicon."""
     words = [r["word"] for r in language_model.words(table(spark, sf_dir, "benchmark")).distinct().collect()]
-    return pipelines.latin_text(drawn_pages(spark, sf_dir), "item_id", letter_model(spark), words, height=96)
+    return of_items(spark, sf_dir, lambda rows, key: pipelines.latin_text(rows, key, letter_model(spark), words, height=96))
 
 
 @query()
@@ -120,7 +142,7 @@ def arabic_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = [(k, f"{name}_Isolated", *images.pack(glyph(c)).values()) for k, (c, name) in enumerate(zip("abcdefgh", ("Baa", "Taa", "Raa", "Dal", "Seen", "Lam", "Meem", "Waw"), strict=True))]
     rows = spark.createDataFrame([(r[0] * 10 + v, *r[1:]) for r in made for v in range(3)], f"id int, label string, {images.IMAGE}").withColumn("dots", F.lit(None).cast("array<struct<cx:double,cy:double,cluster_size:int,position:string>>"))
     model = ml.Classifier("rf").train(images.arabic_features(rows, ["id", "label"]))
-    return pipelines.arabic_text(drawn_pages(spark, sf_dir), "item_id", model, {"بت": 0.4, "تر": 0.3}, {"بت": 3, "در": 2})
+    return of_items(spark, sf_dir, lambda rows, key: pipelines.arabic_text(rows, key, model, {"بت": 0.4, "تر": 0.3}, {"بت": 3, "در": 2}))
 
 
 def _solid(batches):

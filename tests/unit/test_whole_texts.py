@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from lumenq.plans import QUERIES
+from lumenq.plans import QUERIES, image_queries
 
 
 def edits(a, b):
@@ -49,3 +49,14 @@ def test_words_of_any_length_are_decoded(spark, tmp_path):
     assert all(one[w] == (w, joined[w]) for w in words)
     for name in ("beam_search", "viterbi"):
         assert {r.word for r in QUERIES[name](spark, str(tmp_path)).collect()} == set(words)
+
+
+def test_pages_hold_all_letters(spark, tmp_path):
+    text = "river stone light " * 15 + "x" * 40
+    parts = image_queries.page_texts(text)
+    assert "".join(parts).replace(" ", "") == text.replace(" ", "") and max(map(len, parts)) <= 100
+    assert image_queries.page_texts(None) == [""]
+    spark.createDataFrame([(1, text), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = QUERIES["page_layout"](spark, str(tmp_path)).collect()
+    assert sorted((r.item_id, r.page_idx) for r in got) == [*((1, k) for k in range(len(parts))), (2, 0)]
+    assert image_queries.of_items(spark, str(tmp_path), lambda rows, key: rows.select(key, rows.page_idx.cast("string").alias("text"))).where("item_id = 1").first().text == "\n".join(map(str, range(len(parts))))
