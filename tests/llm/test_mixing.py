@@ -57,3 +57,70 @@ def test_sample_keeps_columns_and_whole_budget_keeps_all(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     clash = docs.withColumnRenamed("kept", "mix").withColumnRenamed("part", "cell")
     assert mixing.sample(clash).columns == clash.columns
+
+
+def test_every_probability_and_draw_match_a_plain_loop(spark):
+    """The whole operator, row by row, against dictionaries."""
+    import hashlib
+    import re
+
+    data = rows(150)
+    got = {(r.doc_id, r.source, r.lang, r.topic, r.n_tokens): r for r in mixing.mix(spark.createDataFrame(data, SCHEMA), budget=0.4).collect()}
+    table = []
+    for r in data:
+        text = r[1] or ""
+        n, words = max(len(text), 1), len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        many = [sum(c in s for c in text) for s in ("|", "#*$%&<>{}=", "0123456789")]
+        topic = "none" if not words else "table" if many[0] * 40 > n else "symbols" if many[1] * 12 > n else "numbers" if many[2] * 8 > n else "short" if n < 600 else "prose"
+        table.append((r[0], r[3] or "", r[2] or "", topic, words))
+    assert set(got) == set(table)
+    cells = {}
+    for _, s, x, t, n in table:
+        cells[s, x, t] = cells.get((s, x, t), 0) + n
+    total, now = sum(cells.values()), {c: float(n) for c, n in cells.items()}
+    goals = []
+    for d, e in enumerate((0.5, 0.7, 0.8)):
+        own = {}
+        for c, n in cells.items():
+            own[c[d]] = own.get(c[d], 0) + n
+        powered = {v: n**e for v, n in own.items() if n}
+        goals.append({v: p / sum(powered.values()) for v, p in powered.items()})
+    for _ in range(400):
+        for d in range(3):
+            have = {}
+            for c, n in now.items():
+                have[c[d]] = have.get(c[d], 0) + n
+            now = {c: n * goals[d].get(c[d], 0) * total / have[c[d]] if have[c[d]] else n for c, n in now.items()}
+    weight = {c: now[c] / n if n else 1.0 for c, n in cells.items()}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(n * min(1, mid * weight[c]) for c, n in cells.items()) < 0.4 * total else (low, mid)
+    for key in table:
+        i, c, r = key[0], key[1:4], got[key]
+        p = min(1, high * weight[c])
+        assert r.weight == pytest.approx(weight[c], rel=1e-5) and r.probability == pytest.approx(p, rel=1e-5)
+        number = int(hashlib.md5(f"{mixing.SEED}:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+        assert r.selected == (number < r.probability)
+
+
+def test_targets_that_the_data_do_not_have(spark):
+    docs = spark.createDataFrame([(i, "a b c d", "en", f"s{i % 3}") for i in range(30)], "doc_id long, text string, lang string, source string")
+    share = lambda t: {r.source: r.n_tokens * r.weight / 12 for r in mixing.mix(docs, targets=t).dropDuplicates(["source"]).collect()}
+    # the share of zz goes to s0; s1 and s2 keep theirs of what is left
+    got = share({"source": {"zz": 0.5, "s0": 0.3}})
+    assert got["s0"] == pytest.approx(0.8) and got["s1"] == pytest.approx(0.1) and got["s2"] == pytest.approx(0.1)
+    assert share({"source": {"zz": 1.0}}) == pytest.approx({"s0": 1 / 3, "s1": 1 / 3, "s2": 1 / 3})
+    contrary = spark.createDataFrame([(1, "a b", "en", "s0"), (2, "a b", "fr", "s1")], docs.schema)
+    with pytest.warns(UserWarning, match="targets are not met"):
+        mixing.mix(contrary, targets={"source": {"s0": 0.9, "s1": 0.1}, "lang": {"en": 0.1, "fr": 0.9}}).count()
+
+
+def test_sampling_by_many_cells_draws_the_same_rows(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(50), SCHEMA).drop("kept")
+    monkeypatch.setattr(mixing, "SWEEPS", 3)
+    ids = lambda: sorted((r.doc_id is not None, r.doc_id or 0) for r in mixing.sample(docs, budget=0.5).collect())
+    one = ids()
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    assert ids() == one
+    assert one == sorted((r.doc_id is not None, r.doc_id or 0) for r in mixing.mix(docs, budget=0.5).where("selected").collect())
