@@ -169,27 +169,31 @@ def dump_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.explode(tx.tokens(parts)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-_PAIRS = """SELECT a.conv_id * 1000 + a.turn AS pair_id, left(regexp_replace(a.text, '[^ -~]', '', 'g'), 400) AS truth, left(regexp_replace(b.text, '[^ -~]', '', 'g'), 400) AS result
+_PAIRS = """SELECT a.conv_id * 1000 + a.turn AS pair_id, a.text AS truth, b.text AS result
  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
 
 
-def _whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _single_bytes(a: str, b: str, rows: str) -> str:
+    """SQL for ``rows`` with columns a and b in which each character beyond ASCII of a pair is a
+    control character of its own: DuckDB's distance counts bytes."""
+    coded = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN ord(c) > 127 THEN chr((13 + list_position(_far, c))::INT) ELSE c END), '')"
+    return f"SELECT * REPLACE ({coded.format(a)} AS {a}, {coded.format(b)} AS {b}) FROM (SELECT *, list_distinct(list_filter(string_split({a} || {b}, ''), lambda c: ord(c) > 127)) AS _far FROM ({rows}))"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     a = turns.select("conv_id", "turn", F.col("text").alias("truth"))
     b = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("result"))
     return a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "truth", "result")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of ``_PAIRS``: first 400 printable ASCII characters, as its SQL has them."""
-    cut = lambda c: F.substring(F.regexp_replace(c, "[^ -~]", ""), 1, 400).alias(c)
-    return _whole_pairs(spark, sf_dir).select("pair_id", cut("truth"), cut("result"))
+_T, _R = _NORM.format("truth"), _NORM.format("result")
 
 
-_T, _R = _NORM.format("truth"), _NORM.format("result")
+_CER = f"""SELECT pair_id, CASE WHEN length(t) = 0 THEN 0 ELSE levenshtein(r, t) / length(t) END AS cer FROM ({_single_bytes("t", "r", f"SELECT pair_id, {_T} AS t, {_R} AS r FROM ({_PAIRS})")})"""
 
 
-@query(f"""SELECT pair_id, round(CASE WHEN length(t) = 0 THEN 0 ELSE levenshtein(r, t) / length(t) END, 9) AS cer FROM (SELECT pair_id, {_T} AS t, {_R} AS r FROM ({_PAIRS}))""")
+@query(f"SELECT pair_id, round(cer, 9) AS cer FROM ({_CER})")
 def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = _pairs(spark, sf_dir).select("pair_id", tx.normalise_for_eval(F.col("truth")).alias("t"), tx.normalise_for_eval(F.col("result")).alias("r"))
     return norm.select("pair_id", F.round(tx.cer(F.col("t"), F.col("r")), 9).alias("cer"))
@@ -198,27 +202,39 @@ def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = f"""SELECT pair_id, list_filter(string_split({_T}, ' '), lambda w: w <> '') AS t, list_filter(string_split({_R}, ' '), lambda w: w <> '') AS r FROM ({_PAIRS})"""
 
 
-@query(f"""WITH p AS ({_WORDS}), a AS (SELECT pair_id, w, count(*) AS n FROM (SELECT pair_id, unnest(t) AS w FROM p) GROUP BY 1, 2),
+_RECALL = f"""WITH p AS ({_WORDS}), a AS (SELECT pair_id, w, count(*) AS n FROM (SELECT pair_id, unnest(t) AS w FROM p) GROUP BY 1, 2),
  b AS (SELECT pair_id, w, count(*) AS n FROM (SELECT pair_id, unnest(r) AS w FROM p) GROUP BY 1, 2)
- SELECT p.pair_id, round(CASE WHEN len(p.t) = 0 THEN 1 ELSE coalesce(h.hits, 0) / len(p.t) END, 9) AS recall
- FROM p LEFT JOIN (SELECT a.pair_id, sum(least(a.n, b.n)) AS hits FROM a JOIN b ON a.pair_id = b.pair_id AND a.w = b.w GROUP BY 1) h ON h.pair_id = p.pair_id""")
+ SELECT p.pair_id, CASE WHEN len(p.t) = 0 THEN 1 ELSE coalesce(h.hits, 0) / len(p.t) END AS recall
+ FROM p LEFT JOIN (SELECT a.pair_id, sum(least(a.n, b.n)) AS hits FROM a JOIN b ON a.pair_id = b.pair_id AND a.w = b.w GROUP BY 1) h ON h.pair_id = p.pair_id"""
+#: Row by row of the distance table; the way along a row is a running minimum.
+_WER = f"""WITH RECURSIVE p AS MATERIALIZED ({_WORDS}),
+ cells AS MATERIALIZED (SELECT pair_id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS j FROM p),
+ steps AS MATERIALIZED (SELECT pair_id, unnest(r) AS w, unnest(range(1, len(r) + 1)) AS i FROM p),
+ grid(pair_id, i, j, d) AS (SELECT pair_id, 0::BIGINT, unnest(range(0, len(t) + 1)), unnest(range(0, len(t) + 1)) FROM p
+  UNION ALL SELECT pair_id, i, j, min(v) OVER (PARTITION BY pair_id ORDER BY j ROWS UNBOUNDED PRECEDING) + j FROM (
+   SELECT g.pair_id, s.i, g.j, CASE WHEN g.j = 0 THEN s.i ELSE least(g.d + 1, g.before + (c.w <> s.w)::INT) END - g.j AS v
+   FROM (SELECT *, lag(d) OVER (PARTITION BY pair_id ORDER BY j) AS before FROM grid) g JOIN steps s ON s.pair_id = g.pair_id AND s.i = g.i + 1 LEFT JOIN cells c ON c.pair_id = g.pair_id AND c.j = g.j))
+ SELECT p.pair_id, CASE WHEN len(t) = 0 THEN 0 ELSE d / len(t) END AS wer, len(t)::INT AS truth_words, len(r)::INT AS result_words FROM p JOIN grid g ON g.pair_id = p.pair_id AND g.i = len(r) AND g.j = len(t)"""
+
+
+@query(f"SELECT pair_id, round(recall, 9) AS recall FROM ({_RECALL})")
 def word_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = _pairs(spark, sf_dir).select("pair_id", tx.words(tx.normalise_for_eval(F.col("truth"))).alias("truth_words"), tx.words(tx.normalise_for_eval(F.col("result"))).alias("result_words"))
     return metrics.word_recall(norm, "pair_id").select("pair_id", F.round("recall", 9).alias("recall"))
 
 
-@query()
+@query(f"SELECT pair_id, round(wer, 9) AS wer, truth_words, result_words FROM ({_WER})")
 def wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.text_pairs(_whole_pairs(spark, sf_dir), "pair_id").select("pair_id", F.round("wer", 9).alias("wer"), "truth_words", "result_words")
+    return metrics.text_pairs(_pairs(spark, sf_dir), "pair_id").select("pair_id", F.round("wer", 9).alias("wer"), "truth_words", "result_words")
 
 
-@query()
+@query(f"SELECT count(*) AS n, round(avg(recall), 9) AS recall, round(avg(cer), 9) AS cer, round(avg(wer), 9) AS wer FROM ({_RECALL}) JOIN ({_CER}) USING (pair_id) JOIN ({_WER}) USING (pair_id)")
 def evaluation_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = metrics.text_pairs(_whole_pairs(spark, sf_dir), "pair_id")
+    scores = metrics.text_pairs(_pairs(spark, sf_dir), "pair_id")
     return metrics.macro_average(scores, "recall", "cer", "wer").select("n", *[F.round(c, 9).alias(c) for c in ("recall", "cer", "wer")])
 
 
-@query(f"""SELECT pair_id, levenshtein(truth, result)::INT AS distance, round(levenshtein(truth, result) / greatest(length(truth), length(result), 1), 9) AS change FROM ({_PAIRS})""")
+@query(f"""SELECT pair_id, levenshtein(truth, result)::INT AS distance, round(levenshtein(truth, result) / greatest(length(truth), length(result), 1), 9) AS change FROM ({_single_bytes("truth", "result", _PAIRS)})""")
 def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
     out = metrics.compare_runs(pairs.select("pair_id", F.col("truth").alias("text")), pairs.select("pair_id", F.col("result").alias("text")), "pair_id")
@@ -240,9 +256,10 @@ def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "page", F.array_join(F.transform("l", lambda s: s["line"]), "\n").alias("text"))
 
 
-@query()
+@query(r"""SELECT item_id, unnest(l) AS line, unnest(range(0, len(l)))::INT AS k FROM (SELECT item_id, string_split(list_reduce(w, lambda a, x: CASE WHEN length(string_split(a, chr(10))[-1]) + 1 + length(x) <= 40 THEN a || ' ' || x ELSE a || chr(10) || x END), chr(10)) AS l
+ FROM (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0)""")
 def word_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", tx.wrap(F.col("text"), 40).alias("lines"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(tx.wrap(F.col("text"), 40)).alias("k", "line"))
 
 
 @query("SELECT doc_id, translate(lower(line), '?_', '') AS line, k FROM (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l)))::INT AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
