@@ -107,10 +107,18 @@ def group_lines(rows: DataFrame, key: str, at: str, gap: float) -> DataFrame:
 
 
 def nearest(points: DataFrame, peaks: DataFrame, key: str, id_col: str, at: str, peak: str, most: float) -> DataFrame:
-    """``points`` with ``nearest``, the closest peak of the key within ``most`` (the lower of two), null for orphans."""
-    pairs = points.join(peaks.select(key, F.col(peak).alias("_peak")), key, "left").withColumn("_d", F.abs(F.col(at) - F.col("_peak")))
-    best = pairs.groupBy(key, id_col).agg(F.min_by("_peak", F.struct("_d", "_peak")).alias("_best"), F.min("_d").alias("_least"))
-    return points.join(best, [key, id_col]).withColumn("nearest", F.when(F.col("_least") <= most, F.col("_best"))).drop("_best", "_least")
+    """``points`` with ``nearest``, the closest peak of the key within ``most`` (the
+    lower of two), null for orphans: the peaks before and after each point in order."""
+    ids = points.schema[id_col].dataType
+    marks = peaks.select(key, F.lit(None).cast(ids).alias(id_col), F.col(peak).cast("double").alias("_at"), F.col(peak).alias("_peak"), F.lit(False).alias("_point"))
+    both = marks.unionByName(points.select(key, id_col, F.col(at).cast("double").alias("_at"), F.lit(None).cast(marks.schema["_peak"].dataType).alias("_peak"), F.lit(True).alias("_point")))
+    mine, so_far = Window.partitionBy(key), (Window.unboundedPreceding, 0)
+    both = both.withColumn("_low", F.last("_peak", True).over(mine.orderBy("_at", "_point").rowsBetween(*so_far)))
+    both = both.withColumn("_high", F.last("_peak", True).over(mine.orderBy(F.desc("_at"), "_point").rowsBetween(*so_far)))
+    down, up = F.col("_at") - F.col("_low"), F.col("_high") - F.col("_at")
+    best = F.when(F.col("_low").isNull() | (up < down), F.col("_high")).otherwise(F.col("_low"))
+    found = both.where("_point").select(key, id_col, F.when(F.abs(F.col("_at") - best) <= most, best).alias("nearest")).distinct()
+    return points.join(found, [key, id_col])
 
 
 def mode(rows: DataFrame, key: str, value: str) -> DataFrame:

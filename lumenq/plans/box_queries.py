@@ -252,7 +252,11 @@ def weighted_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(spark, sf_dir).groupBy("img", place.alias("bin")).agg(F.round(F.sum("score"), 6).alias("weight"))
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT img, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, avg(y2 - y1) OVER (PARTITION BY img) * 0.6 AS reach, 'w' || (id % 100) AS text, row_number() OVER (PARTITION BY img ORDER BY (y1 + y2) / 2, id) AS k FROM {_BOXES}),
+ s(img, k, line, total, n, cx, text) AS (SELECT img, k, 0, cy, 1, cx, text FROM o WHERE k = 1
+  UNION ALL SELECT o.img, o.k, CASE WHEN far THEN line + 1 ELSE line END, CASE WHEN far THEN cy ELSE total + cy END, CASE WHEN far THEN 1 ELSE n + 1 END, cx, text
+  FROM (SELECT s.line, s.total, s.n, o.*, abs(o.cy - s.total / s.n) > o.reach AS far FROM s JOIN o ON o.img = s.img AND o.k = s.k + 1) o)
+ SELECT img, string_agg(t, chr(10) ORDER BY line) AS text FROM (SELECT img, line, string_agg(text, ' ' ORDER BY cx, text) AS t FROM s GROUP BY 1, 2) GROUP BY 1""")
 def region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions with polygons, in the role of a detector's output, to lines and text."""
     rows = _boxes(spark, sf_dir)
@@ -262,7 +266,11 @@ def region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.region_text(regions, "img")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT img, row_number() OVER () AS r, x1, y1 FROM {_BOXES}),
+ near AS (SELECT a.r AS a, b.r AS b FROM p a JOIN p b ON a.img = b.img AND (a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1) <= 100),
+ reach(a, b) AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b)
+ SELECT img, round(avg(x1), 6) AS cx, round(avg(y1), 6) AS cy, count(*)::INT AS cluster_size, CASE WHEN avg(y1) < 15 THEN 'above' ELSE 'below' END AS position
+ FROM (SELECT p.*, (SELECT min(b) FROM reach WHERE a = p.r) AS root FROM p) GROUP BY img, root""")
 def dot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _boxes(spark, sf_dir).select("img", F.col("x1").alias("cx"), F.col("y1").alias("cy"))
     out = geo.cluster_dots(points, "img", 10.0, F.lit(15.0))
