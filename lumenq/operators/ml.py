@@ -23,17 +23,28 @@ def hash_order(*columns: Column, seed: str = "42") -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *[c.cast("string") for c in columns]))
 
 
+def _places(rows: DataFrame, label: str, id_col: str) -> DataFrame:
+    """``rows`` with ``_place`` (from 1, in hash order) and ``_total`` of their label.
+    A label is ranked in parts by the first digits of the hash, so no task ranks
+    a whole one; the parts' sizes give where each begins."""
+    hashed = rows.withColumn("_hash", hash_order(F.col(id_col))).withColumn("_part", F.substring("_hash", 1, 3))
+    mine = Window.partitionBy("_label")
+    parts = hashed.groupBy(F.col(label).alias("_label"), F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))  # 4096 rows a label
+    parts = parts.select("_label", "_of", (F.sum("_n").over(mine.orderBy("_of")) - F.col("_n")).alias("_before"), F.sum("_n").over(mine).alias("_total"))
+    both = hashed.join(parts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_of")))
+    place = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_hash", id_col)) + F.col("_before")
+    return both.withColumn("_place", place).drop("_hash", "_part", "_label", "_of", "_before")
+
+
 def stratified_split(rows: DataFrame, label: str, id_col: str, share: float) -> DataFrame:
     """``held_out``: in each label the first ``share`` of the rows in hash order."""
-    mine = Window.partitionBy(label)
-    place = F.row_number().over(mine.orderBy(hash_order(F.col(id_col)), id_col))
-    return rows.withColumn("held_out", place <= F.floor(F.count("*").over(mine) * share + 0.5))
+    placed = _places(rows, label, id_col)
+    return placed.withColumn("held_out", F.col("_place") <= F.floor(F.col("_total") * share + 0.5)).drop("_place", "_total")
 
 
 def stratified_folds(rows: DataFrame, label: str, id_col: str, k: int) -> DataFrame:
     """``fold`` 0 .. k - 1, dealt out in turn within each label."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(F.col(id_col)), id_col))
-    return rows.withColumn("fold", ((place - 1) % k).cast("int"))
+    return _places(rows, label, id_col).withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_place", "_total")
 
 
 def folds_possible(rows: DataFrame, label: str, most: int = 5) -> int:

@@ -9,6 +9,7 @@ from ..functions import candidates as cd
 from ..operators import decode, language_model, metrics, ml
 from ..sources.tables import table
 from .registry import query
+from .text_queries import _ITEMS, _PROBS
 
 WORD_FREQ_TOPN = 100_000  # the reference's
 
@@ -57,11 +58,17 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.accuracy(_predicted(spark, sf_dir), "truth", "predicted").select(F.round("accuracy", 9).alias("accuracy"), "n")
 
 
-@query(f"""SELECT vec_id, k::INT AS k, label, p FROM (SELECT vec_id, label, round(exp(-d) / sum(exp(-d)) OVER (PARTITION BY vec_id), 6) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), label DESC) AS k FROM {_DIST}) WHERE k <= 3""")
-def topk_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+_TOP = f"""SELECT vec_id, k::INT AS k, label, p FROM (SELECT vec_id, label, round(exp(-d) / sum(exp(-d)) OVER (PARTITION BY vec_id), 6) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), label DESC) AS k FROM {_DIST}) WHERE k <= 3"""
+
+
+def _nearest_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _distances(spark, sf_dir).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("label", (-F.round("distance", 9)).alias("s")))).alias("x"))
-    cands = cd.top_k(F.transform("x", lambda s: s["label"].cast("string")), cd.softmax(F.transform("x", lambda s: s["s"])), 3)
-    flat = rows.select("vec_id", F.posexplode(cands).alias("k", "c"))
+    return rows.select("vec_id", cd.top_k(F.transform("x", lambda s: s["label"].cast("string")), cd.softmax(F.transform("x", lambda s: s["s"])), 3).alias("cands"))
+
+
+@query(_TOP)
+def topk_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = _nearest_classes(spark, sf_dir).select("vec_id", F.posexplode("cands").alias("k", "c"))
     return flat.select("vec_id", (F.col("k") + 1).alias("k"), F.col("c.label").cast("int").alias("label"), F.round("c.conf", 6).alias("p"))
 
 
@@ -85,24 +92,26 @@ def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.label_codes(rows, "label").join(weights, "label")
 
 
-_CANDS = [
-    (1, "initial", 0, 1, [("Baa_Start", 0.4), ("Taa_Start", 0.35), ("Baa_Middle", 0.25)]),
-    (2, "medial", 2, 0, [("Noon_Middle", 0.5), ("Taa_Middle", 0.3), ("Ba_Middle", 0.2)]),
-    (3, "none", 0, 0, [("Alef_End", 0.9), ("xyz", 0.1)]),
-    (4, "final", 3, 0, [("Raa_End", 0.6), ("Dal_End", 0.4)]),
-]
-_CANDS_SQL = "(VALUES " + ", ".join(f"({i}, '{p}', {a}, {b}, {k}, '{n}', {c}::DOUBLE)" for i, p, a, b, cs in _CANDS for k, (n, c) in enumerate(cs)) + ") v(id, pos, da, db, k, label, conf)"
+#: Labels in the place of the ten classes; one is no letter.
+_NAMES = ["Baa_Start", "Taa_Start", "Baa_Middle", "Noon_Middle", "Taa_Middle", "Ba_Middle", "Alef_End", "xyz", "Raa_End", "Dal_End"]
+_POSITIONS = ["isolated", "initial", "medial", "final", "none"]
+_CANDS_SQL = f"(SELECT vec_id AS id, ({_POSITIONS})[vec_id % 5 + 1] AS pos, (vec_id % 4)::INT AS da, (vec_id // 4 % 3)::INT AS db, k, ({_NAMES})[label + 1] AS label, p AS conf FROM ({_TOP})) v"
 _DOTS_SQL = "(VALUES ('Baa', 0, 1), ('Ba', 0, 1), ('Taa', 2, 0), ('Noon', 1, 0), ('Alef', 0, 0), ('Raa', 0, 0), ('Dal', 0, 0)) d(base, ea, eb)"
 
 
-def _cands(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CANDS, f"id int, pos string, da int, db int, cands {cd.KIND}")
+def _cands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest classes of each vector as letter candidates."""
+    named = lambda c: cd.pair(F.element_at(F.array(*[F.lit(n) for n in _NAMES]), c["label"].cast("int") + 1), F.round(c["conf"], 6))
+    position = F.element_at(F.array(*[F.lit(p) for p in _POSITIONS]), (F.col("vec_id") % 5 + 1).cast("int"))
+    return _nearest_classes(spark, sf_dir).select(
+        F.col("vec_id").alias("id"), position.alias("pos"), (F.col("vec_id") % 4).cast("int").alias("da"), (F.floor(F.col("vec_id") / 4) % 3).cast("int").alias("db"), F.transform("cands", named).alias("cands")
+    )
 
 
 @query(f"""WITH m AS (SELECT v.*, CASE WHEN d.base IS NULL THEN conf WHEN ea = da AND eb = db THEN conf + 0.2 ELSE greatest(0, conf - 0.1) END AS s FROM {_CANDS_SQL} LEFT JOIN {_DOTS_SQL} ON d.base = regexp_replace(label, '_[^_]*$', ''))
  SELECT id, (row_number() OVER (PARTITION BY id ORDER BY s DESC, k) - 1)::INT AS k, label, round(s / sum(s) OVER (PARTITION BY id), 9) AS conf FROM m""")
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cands(spark).select("id", F.posexplode(cd.rerank(F.col("cands"), F.col("da"), F.col("db"))).alias("k", "c"))
+    rows = _cands(spark, sf_dir).select("id", F.posexplode(cd.rerank(F.col("cands"), F.col("da"), F.col("db"))).alias("k", "c"))
     return rows.select("id", "k", F.col("c.label").alias("label"), F.round("c.conf", 9).alias("conf"))
 
 
@@ -111,7 +120,7 @@ def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT id, label, fits OR NOT anyfit AS by_position, dotted OR NOT dots OR (da = 0 AND db = 0) AS by_dots FROM q""")
 def candidate_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("cands")
-    rows = _cands(spark).select("id", "cands", cd.by_position(c, F.col("pos")).alias("p"), cd.by_dots(c, F.col("da"), F.col("db")).alias("d"))
+    rows = _cands(spark, sf_dir).select("id", "cands", cd.by_position(c, F.col("pos")).alias("p"), cd.by_dots(c, F.col("da"), F.col("db")).alias("d"))
     has = lambda name: F.exists(name, lambda x: x["label"] == F.col("c.label"))
     return rows.select("id", "p", "d", F.explode("cands").alias("c")).select("id", F.col("c.label").alias("label"), has("p").alias("by_position"), has("d").alias("by_dots"))
 
@@ -119,10 +128,19 @@ def candidate_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH g AS (SELECT id, CASE regexp_replace(label, '_[^_]*$', '') WHEN 'Baa' THEN 'ب' WHEN 'Ba' THEN 'ب' WHEN 'Taa' THEN 'ت' WHEN 'Noon' THEN 'ن' WHEN 'Alef' THEN 'ا' WHEN 'Raa' THEN 'ر' WHEN 'Dal' THEN 'د' END AS label, conf FROM {_CANDS_SQL})
  SELECT id, label, round(sum(conf) / sum(sum(conf)) OVER (PARTITION BY id), 9) AS conf FROM g WHERE label IS NOT NULL GROUP BY id, label""")
 def candidates_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cands(spark).select("id", F.explode(cd.as_text(F.col("cands"))).alias("c"))
+    rows = _cands(spark, sf_dir).select("id", F.explode(cd.as_text(F.col("cands"))).alias("c"))
     return rows.select("id", F.col("c.label").alias("label"), F.round("c.conf", 9).alias("conf"))
 
 
+_NOISY = f"""SELECT word, i, unnest([1, 2, 3]) AS o, unnest([c, chr(97 + (ord(c) - 96) % 26), 'e']) AS label, unnest([sure, 0.7::DOUBLE - sure, 0.3::DOUBLE]) AS conf
+ FROM (SELECT word, i, c, 0.35::DOUBLE + ((ord(c) * 7 + (i - 1) * 3) % 10) / 25.0::DOUBLE AS sure FROM (SELECT word, i, substr(word, i, 1) AS c FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM ({_ITEMS}))))"""
+#: Every way to spell lexicon words by the candidates, letter by letter.
+_SPELT = f"""WITH RECURSIVE noisy AS MATERIALIZED ({_NOISY}), items AS MATERIALIZED ({_ITEMS}), begun AS MATERIALIZED (SELECT DISTINCT substr(word, 1, k) AS prefix FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM items)),
+ tried(truth, i, text, total, path) AS (SELECT word, 0, '', 0::DOUBLE, '' FROM items
+  UNION ALL SELECT n.word, n.i::INT, t.text || n.label, t.total + n.conf, t.path || n.o FROM tried t JOIN noisy n ON n.word = t.truth AND n.i = t.i + 1 JOIN begun b ON b.prefix = t.text || n.label),
+ ended AS (SELECT truth, text, total / i AS conf, path FROM tried WHERE i = length(truth) AND text IN (SELECT word FROM items))"""
+
+
 def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words as candidates: the letter, its successor and 'e', with fixed noise."""
     words = language_model.words(table(spark, sf_dir, "benchmark")).distinct()
@@ -140,18 +158,28 @@ def _bigrams(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     return language_model.as_map(language_model.probabilities(language_model.bigram_counts(table(spark, sf_dir, "documents"))))
 
 
-@query()
+@query(f"""WITH RECURSIVE noisy AS MATERIALIZED ({_NOISY}), probs AS MATERIALIZED (SELECT a || b AS g, p FROM ({_PROBS})),
+ beams(word, i, place, score, text, last) AS (SELECT word, 0, 1::BIGINT, 0::DOUBLE, '', '' FROM (SELECT DISTINCT word FROM noisy)
+  UNION ALL SELECT word, i, place, score, text, last FROM (SELECT n.word, n.i::INT AS i, b.score + CASE WHEN n.i = 1 THEN ln(greatest(n.conf, 1e-9)) ELSE ln(greatest(n.conf, 1e-9)) + 0.3::DOUBLE * ln(coalesce(g.p, 1e-6)) END AS score, b.text || n.label AS text, n.label AS last,
+    row_number() OVER (PARTITION BY n.word ORDER BY b.score + CASE WHEN n.i = 1 THEN ln(greatest(n.conf, 1e-9)) ELSE ln(greatest(n.conf, 1e-9)) + 0.3::DOUBLE * ln(coalesce(g.p, 1e-6)) END DESC, b.place, n.o) AS place
+    FROM beams b JOIN noisy n ON n.word = b.word AND n.i = b.i + 1 LEFT JOIN probs g ON g.g = b.last || n.label) WHERE place <= 5)
+ SELECT word, text FROM beams WHERE i = length(word) AND place = 1""")
 def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _noisy(spark, sf_dir).select("word", decode.beam_text(F.col("cands"), _bigrams(spark, sf_dir)).alias("text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE noisy AS MATERIALIZED (SELECT word, i, label, arg_max(conf, o) AS conf, min(o) AS o FROM ({_NOISY}) GROUP BY 1, 2, 3), probs AS MATERIALIZED (SELECT a || b AS g, p FROM ({_PROBS})),
+ best(word, i, label, o, score, text) AS (SELECT word, 1, label, o, ln(greatest(conf, 1e-9)), label FROM noisy WHERE i = 1
+  UNION ALL SELECT word, i, label, o, score, text FROM (SELECT n.word, n.i::INT AS i, n.label, n.o, b.score + 0.3::DOUBLE * ln(coalesce(g.p, 1e-6)) + ln(greatest(n.conf, 1e-9)) AS score, b.text || n.label AS text,
+    row_number() OVER (PARTITION BY n.word, n.label ORDER BY b.score + 0.3::DOUBLE * ln(coalesce(g.p, 1e-6)) DESC, b.o) AS k
+    FROM best b JOIN noisy n ON n.word = b.word AND n.i = b.i + 1 LEFT JOIN probs g ON g.g = b.label || n.label) WHERE k = 1)
+ SELECT word, text, round(score, 6) AS score FROM best WHERE i = length(word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY best.score DESC, o) = 1""")
 def viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _noisy(spark, sf_dir).select("word", decode.viterbi_text(F.col("cands"), _bigrams(spark, sf_dir)).alias("v"))
     return found.select("word", "v.text", F.round("v.score", 6).alias("score"))
 
 
-@query()
+@query(_SPELT + " SELECT truth AS word, text, round(conf, 9) AS conf, text = '' OR conf < 0.3 AS blank FROM ended QUALIFY row_number() OVER (PARTITION BY truth ORDER BY ended.conf DESC, path) = 1")
 def dictionary_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexicon here is the benchmark's words: a table of fixed size."""
     rows = _noisy(spark, sf_dir)
@@ -160,7 +188,7 @@ def dictionary_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", "d.text", F.round("d.conf", 9).alias("conf"), cd.unreliable(F.col("d.text"), F.col("d.conf")).alias("blank"))
 
 
-@query()
+@query(_SPELT + " SELECT text, round(max(conf), 9) AS conf FROM ended GROUP BY 1")
 def dictionary_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same words by semi-joins on the prefix table."""
     rows = _noisy(spark, sf_dir).withColumnRenamed("word", "truth")
@@ -176,8 +204,7 @@ def word_break(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items, all letters, as lines of sub-words (of two letters), decoded
     into words. Counts are of the WORD_FREQ_TOPN most frequent words, as in the
     reference; every lexicon word a run of eight sub-words can spell gets the bonus."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "")).alias("c"), F.lit(1).alias("one"))
-    rows = rows.where("c <> ''").withColumn("char_idx", F.monotonically_increasing_id())
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "")).alias("char_idx", "c")).where("c <> ''")
     lines = rows.select("item_id", F.floor(F.col("char_idx") / 2).cast("long").alias("paw_idx"), "char_idx", F.array(cd.pair(F.col("c"), F.lit(0.9)), cd.pair(F.lit("e"), F.lit(0.1))).alias("cands"))
     known = language_model.frequencies(table(spark, sf_dir, "documents"))
     counts = {r["word"]: r["n"] for r in language_model.most_common(known, WORD_FREQ_TOPN).collect()}
