@@ -20,6 +20,8 @@ from .kernels import imaging as im
 from .kernels import pages, segment
 
 IMAGE = "h int, w int, channels int, px binary"
+#: Bytes of images whose results make one batch.
+_TOGETHER = 4 << 20
 
 
 def unpack(row: dict) -> np.ndarray | None:
@@ -45,11 +47,17 @@ def each(rows: DataFrame, keys: list[str], kernel: Callable[[np.ndarray | None,
     arrow = to_arrow_schema(_parse_datatype_string(out))
 
     def run(batches):
+        made, size = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                made = [{**{k: row[k] for k in keys}, **r} for r in kernel(unpack(row), row)]
-                if made:
+            for at in range(batch.num_rows):  # one image at a time
+                row = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
+                made += [{**{k: row[k] for k in keys}, **r} for r in kernel(unpack(row), row)]
+                size += len(row["px"] or b"")
+                if size > _TOGETHER or len(made) > 5000:
                     yield pa.RecordBatch.from_pylist(made, schema=arrow)
+                    made, size = [], 0
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     return rows.select(*dict.fromkeys([*keys, *(carry or []), "h", "w", "channels", "px"])).mapInArrow(run, out)
 
