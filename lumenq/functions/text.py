@@ -83,6 +83,11 @@ def restore_case(word: Column, model: Column) -> Column:
     return F.when(F.length(word) == F.length(model), F.array_join(pair, "")).otherwise(word)
 
 
+def lower_letter(char: Column) -> Column:
+    """A single letter in lower case; all else as it is."""
+    return F.when(char.rlike(r"^\p{L}$"), F.lower(char)).otherwise(char)
+
+
 def clean_line(line: Column) -> Column:
     return F.translate(F.lower(line), "?_", "")
 

@@ -177,6 +177,11 @@ def assemble_text(words: DataFrame, page: list[str], line: str, x: str, text: st
     return lines.groupBy(*page).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(line, "_t"))), lambda s: s["_t"]), "\n").alias("text"))
 
 
+def confident_text(words: DataFrame, page: list[str], line: str, x: str, text: str, score: str, least: float = 0.7) -> DataFrame:
+    """The text of recognised crops: empty and unsure ones are left out."""
+    return assemble_text(words.where((F.col(text) != "") & (F.col(score) >= least)), page, line, x, text)
+
+
 def region_line_numbers(cy: list[float], height: list[float], share: float) -> list[int]:
     """Line number of each region in centre order: a region joins the line if it
     is near the mean centre of the line so far."""

@@ -6,11 +6,17 @@ common shape: ``label, features`` in, candidate arrays out.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pandas as pd
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,8 +97,42 @@ def distances(rows: DataFrame, id_col: str, centres: DataFrame, label: str, feat
     return both.select(id_col, label, F.aggregate(F.zip_with(features, "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("distance"))
 
 
+class KernelFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
+    """Random Fourier features: their products are near a Gaussian kernel whose
+    gamma is one over the number of (scaled) dimensions."""
+
+    size = Param(Params._dummy(), "size", "features made", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, size=256, seed=42):
+        super().__init__()
+        self._setDefault(size=256, seed=42)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        size, seed = self.getOrDefault("size"), self.getOrDefault("seed")
+
+        @F.pandas_udf("array<double>")
+        def run(values: pd.Series) -> pd.Series:
+            x = np.stack(values.to_numpy())
+            rng = np.random.default_rng(seed)
+            directions = rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], size))
+            return pd.Series(list(np.cos(x @ directions + rng.uniform(0, 2 * np.pi, size)) * np.sqrt(2 / size)))
+
+        return rows.withColumn(self.getOutputCol(), array_to_vector(run(vector_to_array(self.getInputCol()))))
+
+
+def _kernel_svm() -> Pipeline:
+    """Scaled values, kernel features, one margin a class, and probabilities from the margins."""
+    return Pipeline(stages=[
+        StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), KernelFeatures(inputCol="scaled", outputCol="mapped"),
+        OneVsRest(classifier=LinearSVC(maxIter=15, regParam=1e-3), featuresCol="mapped", labelCol="code", predictionCol="nearest"),
+        LogisticRegression(featuresCol="rawPrediction", labelCol="code", rawPredictionCol="logits", regParam=1e-3),
+    ])
+
+
 CLASSIFIERS = {
-    "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=15, regParam=0.01), featuresCol="vector", labelCol="code"),
+    "svm": _kernel_svm,
     "rf": lambda: RandomForestClassifier(numTrees=50, maxDepth=10, seed=42, featuresCol="vector", labelCol="code"),
     "lr": lambda: LogisticRegression(maxIter=50, regParam=1e-3, featuresCol="vector", labelCol="code"),
 }
@@ -132,7 +172,7 @@ class Classifier:
         scores = vector_to_array(raw)
         if raw == "rawPrediction":
             scores = cd.softmax(scores)  # margins, made to sum to one
-        return out.withColumn("_scores", scores).drop("vector", "rawPrediction", "probability", "prediction")
+        return out.withColumn("_scores", scores).drop("vector", "rawPrediction", "probability", "prediction", "scaled", "mapped", "nearest", "logits")
 
     def predict(self, rows: DataFrame, features: str = "features", k: int = 15) -> DataFrame:
         """``rows`` with ``predicted`` and ``cands``, the k likeliest."""

@@ -12,12 +12,14 @@ from ..functions import arabic
 from ..functions import boxes as bx
 from ..functions import candidates as cd
 from ..functions import text as tx
+from ..operators import geometry, metrics
 from ..operators import language_model as lm
-from ..operators import metrics
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import files
+from .box_queries import _BOXES, _boxes
 from .ml_queries import _CANDS_SQL, _DOTS_SQL, _NAMES, _NOISY, _bigrams, _cands, _noisy
+from .pixel_queries import pixels
 from .registry import query
 from .text_queries import _FREQ, _PROBS, _documents
 from .text_queries import _bigrams as _probabilities
@@ -148,6 +150,35 @@ def numbered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.numbered_names(rows, "label", "page_id").select("page_id", "filename")
 
 
+@query("""SELECT label || '/' || label || '_' || printf('%04d', row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) || '.jpg' AS image_path, label::VARCHAR AS label FROM embeddings""")
+def stored_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled images written with their list of labels, and the list read again."""
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return tables.write_dataset(pixels(spark, sf_dir).join(labels, "vec_id"), "label", "vec_id", scratch(spark, "dataset"))
+
+
+@query("SELECT vec_id, label::INT AS label, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings WHERE label IN (0, 1, 2, 3, 4)")
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features written by class; those of five classes loaded."""
+    path = scratch(spark, "features")
+    table(spark, sf_dir, "embeddings").write.partitionBy("label").parquet(path)
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, v: s + v)
+    return tables.load_features(spark, path, ["0", "1", "2", "3", "4"]).select("vec_id", "label", F.round(total, 5).alias("total"))
+
+
+@query(f"""SELECT img, string_agg(t, chr(10) ORDER BY n) AS text FROM (SELECT img, n, string_agg('w' || (id % 100), ' ' ORDER BY x1, 'w' || (id % 100)) AS t FROM {_BOXES} WHERE score >= 0.2 GROUP BY 1, 2) GROUP BY 1""")
+def confident_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised words with a sure score, by line and place."""
+    words = _boxes(spark, sf_dir).select("img", "n", "x1", "score", F.concat(F.lit("w"), (F.col("id") % 100).cast("string")).alias("word"))
+    return geometry.confident_text(words, ["img"], "n", "x1", "word", "score", 0.2)
+
+
+@query(r"SELECT c AS char, CASE WHEN regexp_full_match(c, '\p{L}') THEN lower(c) ELSE c END AS lower FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> ''")
+def lower_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = _documents(spark, sf_dir).select(F.explode(F.split("text", "")).alias("char")).where("char <> ''").distinct()
+    return chars.select("char", tx.lower_letter(F.col("char")).alias("lower"))
+
+
 @query("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id % 3 = 0)")
 def files_not_there(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "pages").select("page_id")

@@ -128,6 +128,26 @@ def write_parquet(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def write_dataset(rows: DataFrame, label: str, order: str, folder: str) -> DataFrame:
+    """A labelled set of images: ``images`` (name, label and pixels) and
+    ``labels.csv`` (image_path, label); its rows are returned as they read again."""
+    named = numbered_names(rows, label, order).withColumn("image_path", F.concat_ws("/", F.col(label).cast("string"), "filename"))
+    write_parquet(named, f"{folder}/images")
+    stored = rows.sparkSession.read.parquet(f"{folder}/images")
+    stored.select("image_path", F.col(label).alias("label")).write.mode("overwrite").csv(f"{folder}/labels.csv", header=True)
+    return rows.sparkSession.read.csv(f"{folder}/labels.csv", header=True, schema="image_path string, label string")
+
+
+def load_features(spark: SparkSession, folder: str, classes: list[str]) -> DataFrame:
+    """The features stored by class under ``folder/label=...``; an error names the classes that are not there."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    missing = [c for c in classes if not system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/label={c}"))]
+    if missing:
+        raise FileNotFoundError(f"no features of {', '.join(missing)} in {folder}")
+    return spark.read.parquet(folder).where(F.col("label").cast("string").isin(classes))
+
+
 def not_yet(wanted: DataFrame, there: DataFrame, key: str = "name") -> DataFrame:
     """What is wanted and not there."""
     return wanted.join(there.select(key).distinct(), key, "left_anti")
