@@ -142,8 +142,10 @@ def _pointer_rows(batches):
     for held in _entries(batches):
         gram, run, doc, hash_, first, more = (held[k] for k in range(6))
         order, new = _least(gram, run, doc, hash_, first)
-        place = first[order] << 9 | more[order] << 1 | ~new
-        yield pa.RecordBatch.from_arrays([*[pa.array(x[order]) for x in (gram, run, doc, hash_)], pa.array(place)], names=["gram", "run", "doc", "hash", "place"])
+        gram, run, doc, hash_, place = gram[order], run[order], doc[order], hash_[order], first[order] << 9 | more[order] << 1 | ~new
+        # what is known to be later has no business in the bucket: it goes anywhere
+        gram = np.where(new, gram, mix((doc ^ place).view(_U)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, run, doc, hash_, place)], names=["gram", "run", "doc", "hash", "place"])
 
 
 _FOUND = "doc long, hash long, mark long, gram long"

@@ -67,5 +67,27 @@ def test_on_the_given_table(spark, sf):
     assert got == brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_ids_with_two_texts_and_a_passage_in_all(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = sentence(rng, "en", 40)
+    d = [(i // 2 if i % 3 else None, f"{sentence(rng, 'de', rng.randrange(12))} {passage}{sentence(rng, 'fr', rng.randrange(30))}") for i in range(150)]
+    d += d[:20]
+    docs = spark.createDataFrame(d, "doc_id long, text string")
+    assert Counter(tuple(r) for r in suffix.remove(docs.repartition(5)).collect()) == brute(d)
+    monkeypatch.setattr(suffix, "GROUP", 10)  # the passage's buckets are refined by shuffles
+    monkeypatch.setattr(suffix, "_TOGETHER", 1)
+    assert Counter(tuple(r) for r in suffix.remove(docs.repartition(5)).collect()) == brute(d)
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(9)
+    text = sentence(rng, "en", 500)
+    d = [(1, text + " " + sentence(rng, "fr", 400_000)), (2, sentence(rng, "de", 200) + text), (3, "na " * 200_000)]
+    got = {r.doc_id: r for r in suffix.remove(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    assert got[1].n_bytes > 2 << 20 and got[1].n_removed == 0
+    assert (got[2].n_spans, got[2].n_removed >= len(text.encode())) == (1, True)
+    assert (got[3].n_spans, got[3].n_removed) == (1, 600_000 - 3)
+
+
 def test_empty(spark):
     assert suffix.remove(spark.createDataFrame([], SCHEMA)).count() == 0
