@@ -63,3 +63,17 @@ def test_parts_after_an_equals_sign_before_a_full_stop_and_long(spark):
 
 def test_empty(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_matches_in_one_long_text(spark):
+    """Work grows with the matches: 60,000 access identifiers in one text of 1.5 MB."""
+    n = 60_000
+    text = " ".join(f"AKIA{k:020d}" for k in range(n))
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_access == n and [tuple(s) for s in row.base if s.kind == 1] == [(25 * k, 1, 25 * k + 24) for k in range(n)] and row.n_hex == n
+
+
+def test_no_python_worker_on_the_main_path(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    plan = secrets.digest(secrets.scan(docs))._jdf.queryExecution().toString()
+    assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "ExternalRDD"))
