@@ -23,7 +23,8 @@ CHUNK_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
+    """The folder all executors share. Where none is set, a temporary one in
+    local mode; on a cluster each machine would have its own, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lumenq-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -62,6 +65,12 @@ def release(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def one_thread(spark: SparkSession) -> None:
+    """Matrix products of the Python workers started from here on use one thread
+    each: tasks fill the cores, and threads that wait for small products only burn time."""
+    spark.sparkContext.environment["OPENBLAS_NUM_THREADS"] = "1"
+
+
 def spread(df: DataFrame, *keys) -> DataFrame:
     """Deal rows over the configured number of shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
