@@ -18,7 +18,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    found = mixing.mix(_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,44 @@ QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_mixing_sources, op3_lm_scoring, op4_quality_rules, op5_benchmark_decontamination,
     op6_token_counts, op7_ngram_jaccard_join, op8_sharding, op9_suffix_array_dedup, op10_secret_scans,
 )}
-ORACLES: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+_SHARE = "SELECT {0} AS v, power(sum(tokens), {1}) / sum(power(sum(tokens), {1})) OVER () AS goal FROM cells GROUP BY 1 HAVING sum(tokens) > 0"
+
+_OP2 = rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t, len({_WORDS.format("text")}) AS n_tokens FROM documents),
+ sized AS (SELECT *, greatest(length(t), 1) AS size, length(t) - length(replace(t, '|', '')) AS bars, length(t) - length(regexp_replace(t, '[#*$%&<>{{}}=]', '', 'g')) AS symbols, length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digits FROM d),
+ rows AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN n_tokens = 0 THEN 'none' WHEN bars * 40 > size THEN 'table' WHEN symbols * 12 > size THEN 'symbols' WHEN digits * 8 > size THEN 'numbers' WHEN size < 600 THEN 'short' ELSE 'prose' END AS topic FROM sized),
+ cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL),
+ gs AS ({_SHARE.format("source", mixing.FLATTEN["source"])}), gl AS ({_SHARE.format("lang", mixing.FLATTEN["lang"])}), gt AS ({_SHARE.format("topic", mixing.FLATTEN["topic"])}),
+ raked(k, source, lang, topic, tokens, s, l, t, total, now) AS (
+  SELECT 0, source, lang, topic, tokens, gs.goal, gl.goal, gt.goal, sum(tokens) OVER (), tokens FROM cells LEFT JOIN gs ON gs.v = source LEFT JOIN gl ON gl.v = lang LEFT JOIN gt ON gt.v = topic
+  UNION ALL
+  SELECT k + 1, source, lang, topic, tokens, s, l, t, total, CASE WHEN have > 0 THEN now * coalesce(CASE k % 3 WHEN 0 THEN s WHEN 1 THEN l ELSE t END, 0) * total / have ELSE now END
+  FROM (SELECT *, sum(now) OVER (PARTITION BY CASE k % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE topic END) AS have FROM raked WHERE k < {3 * mixing.SWEEPS})),
+ weights AS (SELECT source, lang, topic, tokens, CASE WHEN tokens > 0 THEN now / tokens ELSE 1 END AS weight FROM raked WHERE k = {3 * mixing.SWEEPS}),
+ halved(k, low, high) AS (SELECT 0, 0::DOUBLE, 1e6::DOUBLE UNION ALL SELECT k + 1, CASE WHEN short THEN (low + high) / 2 ELSE low END, CASE WHEN short THEN high ELSE (low + high) / 2 END
+  FROM (SELECT *, (SELECT sum(tokens * least(1, (low + high) / 2 * weight)) < {mixing.BUDGET} * sum(tokens) FROM weights) AS short FROM halved WHERE k < 200)),
+ worth AS (SELECT w.*, least(1, high * weight) AS p FROM weights w, halved WHERE k = 200)
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(p, 6) AS probability, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / power(2, 52) < p AS selected
+FROM rows JOIN worth USING (source, lang, topic)"""
+
+_OP7 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+ sets AS (SELECT r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard.SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {jaccard.SHINGLE - 2}), lambda i: array_to_string(w[i : i + {jaccard.SHINGLE - 1}], ' '))) END AS s FROM d),
+ grams AS (SELECT r, unnest(s) AS g FROM sets), sizes AS (SELECT r, len(s) AS n FROM sets),
+ links AS (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.r <> y.r GROUP BY 1, 2) JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE c >= {jaccard.THRESHOLD} * (p.n + q.n - c) - 1e-9),
+ reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+ classes AS (SELECT a AS r, min(doc_id) AS class_id FROM (SELECT a, b FROM reach UNION SELECT r, r FROM d) JOIN d ON d.r = b GROUP BY 1),
+ counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM d JOIN classes USING (r) LEFT JOIN counts USING (r)"""
+
+#: CRC-32 by its table; bytes from the code points.
+_OP8 = f"""WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+ coded AS (SELECT doc_id, coalesce(text, '') AS text, flatten(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN c = '' THEN []::BIGINT[] WHEN ord(c) < 128 THEN [ord(c)]
+  WHEN ord(c) < 2048 THEN [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] WHEN ord(c) < 65536 THEN [224 + (ord(c) >> 12), 128 + ((ord(c) >> 6) & 63), 128 + (ord(c) & 63)]
+  ELSE [240 + (ord(c) >> 18), 128 + ((ord(c) >> 12) & 63), 128 + ((ord(c) >> 6) & 63), 128 + (ord(c) & 63)] END)) AS b FROM documents),
+ sized AS (SELECT doc_id, octet_length(encode(text)) + {sharding.OVERHEAD} AS size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM coded, tab),
+ placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM sized),
+ cut AS (SELECT *, least(23, ((2 * before + size) * 24) // (2 * total))::INT AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM cut"""
+
+ORACLES = {"op2_mixing_sources": _OP2, "op7_ngram_jaccard_join": _OP7, "op8_sharding": _OP8}
