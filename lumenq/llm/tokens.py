@@ -9,21 +9,25 @@ on an old one beyond the edit, encodes only these pre-tokens, and updates the
 sums on the way to the root. The pattern looks ahead but never back, so from a
 common cut on both texts are cut alike.
 
-Rows are independent: no shuffle. Null texts have no tokens; edits on them
-apply to the empty text. Edit positions are code points of the text before it,
-clamped to its length; edits are applied in the order given.
+Rows are independent: no shuffle; null and repeated ids and rows are no matter.
+Null texts have no tokens; edits on them apply to the empty text. Edit
+positions are code points of the text before it, clamped to its length; edits
+are applied in the order given, null ones are left out. An empty table gives no
+rows; a long text takes memory in proportion to itself.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A vocabulary file of the machine; the folder can be set, the file is a parameter of ``count``.
+VOCABULARY = os.path.join(os.environ.get("LUMENQ_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CONTEXT, BLOCK, CACHED = 4, 64, 300_000
@@ -165,6 +169,8 @@ def count(docs: DataFrame, edits: Column | None = None, id_col: str = "doc_id",
     """``doc_id, n_pretokens, n_tokens`` of each row, and after ``edits`` (an
     array of structs start, end, replacement) ``edited_pretokens,
     edited_tokens, reencoded``, the pre-tokens that were encoded again."""
+    if not os.path.exists(vocabulary):
+        raise FileNotFoundError(f"no vocabulary at {vocabulary}: give its path, or set LUMENQ_TOKENIZERS to its folder")
     with open(vocabulary, "rb") as file:
         shipped = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary file: fixed size
     kind = "array<struct<start:int,end:int,replacement:string>>"
