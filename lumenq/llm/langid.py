@@ -5,11 +5,14 @@ scored by its longest character n-grams that are known: n = 5 first, then
 shorter ones; the mean over the known n-grams counts as the word's value. The
 model is fitted on a bounded sample of rows that have a language: about
 ``per_lang`` rows of each, taken by hash of the id, so that rare languages are
-used whole.
+used whole. Of each language it keeps the WORDS most frequent words and the
+GRAMS most frequent n-grams of each order; every language takes part.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every
-text if no row has a language. Words are runs of letters, in lower case.
-Labels with more than LANGS languages keep the LANGS most frequent.
+text if no row has a language. Words are runs of letters, in lower case. Of
+languages with equal totals the first by name is taken. Rows are judged one by
+one: repeated rows get equal answers, a null id is of the fold of the empty
+text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import Prefix, find, remainder, runs
+from .shared import Prefix, find, release, remainder, runs, saved
 
-#: Sampled rows of a language, entries of the word and n-gram tables, orders, languages.
-PER_LANG, WORDS, GRAMS, ORDERS, LANGS = 2000, 1 << 16, 1 << 14, (5, 4, 3, 2, 1), 500
+#: Of each language: sampled rows, words, n-grams of each order; the orders; the smoothing count.
+PER_LANG, WORDS, GRAMS, ORDERS, ADD = 2000, 1 << 15, 1 << 13, (5, 4, 3, 2, 1), 0.1
 _LETTERS: dict[str, np.ndarray] = {}
 
 
@@ -72,13 +76,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if fold:
         rows = rows.where(remainder("id", fold) != 0)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).collect()  # as many as there are languages
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return {"langs": []}
     number = {x: i for i, x in enumerate(langs)}
-    share = F.element_at(F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_lang / r["n"]))]), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) < share * F.lit(float(1 << 20))).select("text", "lang")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_lang / r["rows"])) for r in sizes], "lang string, share double")
+    hashed = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    picked = rows.join(F.broadcast(shares), "lang").where(hashed < F.col("share")).select("text", "lang")
 
     def count(batches):
         for batch in batches:
@@ -97,25 +102,24 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     n = np.diff(np.append(new, len(k)))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), kind), pa.int32()), pa.array(k[new].view(np.int64)), pa.array(who[new], pa.int32()), pa.array(n, pa.int64())], names=["kind", "key", "lang", "n"])
 
-    counts = picked.mapInArrow(count, "kind int, key long, lang int, n long").where("lang >= 0").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-    by_key = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("langs"))
+    counts = saved(picked.mapInArrow(count, "kind int, key long, lang int, n long").where("lang >= 0").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")), "counts")
+    place = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "key"))
+    top = counts.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == 0, WORDS).otherwise(GRAMS)).select("kind", "key").distinct()
+    table = counts.join(top, ["kind", "key"], "left_semi").toArrow()  # at most WORDS + 5 * GRAMS keys of each language
+    sizes = np.zeros((max(ORDERS) + 1, len(langs)))
+    for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect():
+        sizes[r["kind"], r["lang"]] = r["n"]
+    distinct = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.countDistinct("key").alias("n")).collect()}
+    release(counts)
+    kind, key, lang, n = (table.column(c).to_numpy() for c in ("kind", "key", "lang", "n"))
     model: dict = {"langs": langs}
-    by_key = by_key.persist()
-    try:
-        totals = {(r["kind"], r["lang"]): r["n"] for r in by_key.select("kind", F.explode("langs").alias("lang", "n")).groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
-        kinds = dict(by_key.groupBy("kind").count().collect())
-        for kind in (0, *ORDERS):
-            top = by_key.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(WORDS if kind == 0 else GRAMS).select("key", "langs").collect()
-            keys = np.array([r["key"] for r in top], np.int64).view(np.uint64)
-            table = np.zeros((len(top), len(langs)))
-            for i, r in enumerate(top):
-                for x, n in r["langs"].items():
-                    table[i, x] = n
-            size = np.array([totals.get((kind, i), 0) for i in range(len(langs))], float)
-            order = np.argsort(keys)
-            model[kind] = (keys[order], np.log((table[order] + 0.1) / (size + 0.1 * (kinds.get(kind, 0) + 1))).astype(np.float32))
-    finally:
-        by_key.unpersist()
+    for k in (0, *ORDERS):
+        mine = np.flatnonzero(kind == k)
+        mine = mine[np.lexsort((lang[mine], key[mine].view(np.uint64)))]
+        keys, first = np.unique(key[mine].view(np.uint64), return_index=True)
+        unseen = np.log(ADD / (sizes[k] + ADD * (distinct.get(k, 0) + 1)))
+        # log frequency of a key in a language: that of an unseen one, and what its count adds
+        model[k] = (keys, np.append(first, len(mine)), lang[mine].astype(np.int64), np.log((n[mine] + ADD) / ADD), unseen)
     return model
 
 
@@ -125,28 +129,27 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray
     lettered = np.bincount(w.owner, minlength=w.n) > 0
     if not langs:
         return ["und"] * w.n, np.zeros(w.n)
-    total = np.zeros((w.n, len(langs)))
+    total = np.zeros(w.n * len(langs))
 
-    def add(owner: np.ndarray, values: np.ndarray) -> None:
-        for x in range(len(langs)):
-            total[:, x] += np.bincount(owner, weights=values[:, x], minlength=w.n)
+    def add(kind: int, at: np.ndarray, owner: np.ndarray, share: np.ndarray) -> None:
+        _, cuts, lang, more, unseen = model[kind]
+        total.reshape(w.n, -1)[:] += np.bincount(owner, weights=share, minlength=w.n)[:, None] * unseen
+        many = cuts[at + 1] - cuts[at]
+        entry = np.repeat(cuts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        total[:] += np.bincount(np.repeat(owner, many) * len(langs) + lang[entry], weights=np.repeat(share, many) * more[entry], minlength=len(total))
 
-    keys, table = model[0]
-    at, known = find(keys, w.hashes)
-    if len(keys):
-        add(w.owner[known], table[at[known]])
+    at, known = find(model[0][0], w.hashes)
+    add(0, at[known], w.owner[known], np.ones(known.sum()))
     left = np.flatnonzero(~known)
     for n in ORDERS:
-        keys, table = model[n]
-        if not len(left) or not len(keys):
+        if not len(left) or not len(model[n][0]):
             continue
         grams, owner = w.grams(left, n)
-        at, known = find(keys, grams)
+        at, known = find(model[n][0], grams)
         hits = np.bincount(owner[known], minlength=len(left))
-        value = np.stack([np.bincount(owner[known], weights=table[at[known], x], minlength=len(left)) for x in range(len(langs))], 1)
-        seen = hits > 0
-        add(w.owner[left[seen]], value[seen] / hits[seen, None])
-        left = left[~seen]
+        add(n, at[known], w.owner[left[owner[known]]], 1 / hits[owner[known]])
+        left = left[hits == 0]
+    total = total.reshape(w.n, -1)
     best = total.argmax(1)
     p = 1 / np.exp(np.clip(total - total.max(1, keepdims=True), -50, 0)).sum(1)
     return [langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], np.where(lettered, p, 0.0)
@@ -154,7 +157,7 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", fold: int = 5) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of each row; only the text decides."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded: WORDS and GRAMS entries
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded: WORDS and GRAMS entries of each language
 
     def run(batches):
         for batch in batches:
