@@ -5,26 +5,34 @@ punctuation and case do not matter. Every 3-gram of an item is counted over
 the whole corpus; those not far above the median of their item's are its rare
 seeds (so an item that was copied a million times keeps its seeds). Where a
 text has a rare seed, or a share EVIDENCE of all grams of an item, the words
-around them are aligned with the item: match 1, mismatch and gap -0.5. A text is contaminated if the best local score reaches
-SHARE of the item's words, or of PASSAGE words for longer items.
+around them are aligned with the item: match 1, mismatch and gap -0.5. A text
+is contaminated if the best local score reaches SHARE of the item's words, or
+of PASSAGE words for longer items.
 
 The corpus is read twice and never shuffled; what moves is one count for each
-seed and the hits. The benchmark is broadcast in blocks of at most BLOCK_BYTES
-of text; a larger one takes one reading of the corpus for each block.
-
-Items with equal words are one item, under its smallest id. Null texts have no
-words; items of under MIN_WORDS words are too short to be evidence and match
-nothing. Every row is judged by itself, so repeated rows give repeated hits.
+seed and the hits. The benchmark is broadcast in blocks of about BLOCK_BYTES
+of text, one at a time; a larger one takes its readings of the corpus block by
+block, and what a block found or left is written before the next.
+
+Items with equal words are one item, under its smallest id; null ids come
+last and are given as null. Null texts have no words; items of under MIN_WORDS
+words are too short to be evidence and match nothing. Every row is judged by
+itself, so repeated rows give repeated hits, null ids are no matter, and of
+alignments with equal scores the first in the text is given. Without items or
+without rows nothing is found.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Prefix, chunks, find, lowered, runs, text_bytes, windows
+from .shared import Prefix, chunks, find, lowered, release, runs, saved, text_bytes, windows
 
 GRAM, COMMON, EVIDENCE, SHARE, PASSAGE, MIN_WORDS, BLOCK_BYTES = 3, 10, 0.15, 0.5, 50, 5, 32 << 20
 PENALTY = 0.5
@@ -46,12 +54,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Items:
     """The words of a block of items, and where each 3-gram of theirs stands."""
 
-    def __init__(self, rows: list[tuple[int, str | None]]):
+    def __init__(self, rows: list[tuple[int | None, str]]):
         data, offsets = text_bytes(pa.array([t for _, t in rows], pa.string()))
         keys, owner = words(data, offsets)
         cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-        by_words: dict[bytes, int] = {}
-        for k in sorted(range(len(rows)), key=lambda k: rows[k][0]):
+        by_words: dict[bytes, int | None] = {}
+        for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)):
             if cuts[k + 1] - cuts[k] >= MIN_WORDS:
                 by_words.setdefault(keys[cuts[k] : cuts[k + 1]].tobytes(), rows[k][0])
         self.ids = list(by_words.values())
@@ -146,40 +154,43 @@ def hits(items: Items, column: pa.Array):
                 yield i + doc, item, min(1.0, best[0] / min(size, PASSAGE)), best[1], best[2]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str) -> list:
-    """The benchmark's blocks with their seeds chosen, each broadcast."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null and item_id is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
+def _items(docs: DataFrame, rows: DataFrame, text_col: str) -> Broadcast:
+    """One block of items with its seeds chosen by their counts in the corpus."""
+    items = Items([tuple(r) for r in rows.collect()])
     context = docs.sparkSession.sparkContext
-    out = []
-    for k in range(n):
-        items = Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()])
-        shipped = context.broadcast(items.keys)
+    shipped = context.broadcast(items.keys)
 
-        def count(batches, shipped=shipped):
-            for batch in batches:
-                data, offsets = text_bytes(batch.column(0))
-                total = np.zeros(len(shipped.value), np.int64)
-                for i, j in chunks(offsets):
-                    keys, owner = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    at, known = find(shipped.value, windows(keys, owner, GRAM)[0])
-                    total += np.bincount(at[known], minlength=len(total))
-                some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(shipped.value[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
+    def count(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            total = np.zeros(len(shipped.value), np.int64)
+            for i, j in chunks(offsets):
+                keys, owner = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                at, known = find(shipped.value, windows(keys, owner, GRAM)[0])
+                total += np.bincount(at[known], minlength=len(total))
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(shipped.value[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    items.choose({r["gram"]: r["n"] for r in counted.collect()})  # one row at most for each gram of the block
+    shipped.unpersist()
+    return context.broadcast(items)
 
-        counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        items.choose({r["gram"]: r["n"] for r in counted.collect()})  # one row at most for each gram of the block
-        out.append(context.broadcast(items))
-    return out
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str) -> list[DataFrame]:
+    """The benchmark in blocks of about BLOCK_BYTES; rows are dealt by a hash of the text."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    return [rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each contaminated row and item: ``doc_id, item_id, score``
     (1 is a whole copy), and the words of the text that align."""
-    found = None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for shipped in _blocks(docs, benchmark, text_col, item_col, item_text):
+    blocks, found = _blocks(benchmark, item_col, item_text), []
+    for block in blocks:
+        shipped = _items(rows, block, "text")
 
         def run(batches, shipped=shipped):
             for batch in batches:
@@ -189,19 +200,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(item, pa.int64()), pa.array(score), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["doc_id", "item_id", "score", "first_word", "last_word"])
 
         part = rows.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long")
-        found = part if found is None else found.unionByName(part)
-    return found
+        found.append(saved(part, "found") if len(blocks) > 1 else part)
+        if len(blocks) > 1:
+            shipped.unpersist()
+    return reduce(DataFrame.unionByName, found)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows that are not contaminated, with the columns they came with."""
-    blocks = _blocks(docs, benchmark, text_col, item_col, item_text)
+    blocks, now = _blocks(benchmark, item_col, item_text), docs
+    for k, block in enumerate(blocks):
+        shipped = _items(docs, block, text_col)
 
-    def sift(batches):
-        for batch in batches:
-            bad = np.zeros(batch.num_rows, bool)
-            for shipped in blocks:
+        def sift(batches, shipped=shipped):
+            for batch in batches:
+                bad = np.zeros(batch.num_rows, bool)
                 bad[[h[0] for h in hits(shipped.value, batch.column(text_col))]] = True
-            yield batch.filter(pa.array(~bad))
-
-    return docs.mapInArrow(sift, docs.schema)
+                yield batch.filter(pa.array(~bad))
+
+        after = now.mapInArrow(sift, docs.schema)
+        if k + 1 < len(blocks):
+            after = saved(after, "left")
+            if now is not docs:
+                release(now)
+            shipped.unpersist()
+        now = after
+    return now
