@@ -209,9 +209,10 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("comp", "blocks", "node", "copies")], pa.array(packed, pa.binary())], names=["comp", "blocks", "node", "copies", "set"])
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links`` of each row; ``class_id`` is the smallest id
-    of the rows connected with it by links, its own if there are none."""
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows as ``doc_id, node, full`` (the word sequence, whether it has words),
+    and of each node ``class_id``, ``n_links`` and its class's best row: the one
+    with the smallest id, among equal ids the one with the smallest node."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = texts.mapInArrow(_fingerprint, "doc_id long, node long, full boolean, bands array<long>")
     rows = saved(prints.select("doc_id", "node", "full", F.when(F.col("full"), F.col("bands")).alias("bands")), "prints")
@@ -233,24 +234,62 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     units = spread(units, "comp", "low", "high").sortWithinPartitions("comp", "low", "high", "node")
     linked = saved(units.mapInArrow(_units, "node long, buddy long, partners long, links long"), "links")
     ends = components(linked.select("node", "buddy"))
-    heads = ends.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
-    found = ends.join(heads, "root").select("node", "class_id").join(linked.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+    best = F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), F.col("node").alias("node"))
+    heads = ends.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"), F.min(best).alias("best"))
+    found = ends.join(heads, "root").select("node", "class_id", "best").join(linked.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     found = classes.select("node", "rep", "copies").join(found, "node", "left")
-    found = found.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    found = found.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("best", best).alias("best"))
     release(wanted)
+    return rows.select("doc_id", "node", "full"), found
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, class_id, n_links`` of each row; ``class_id`` is the smallest id
+    of the rows connected with it by links, its own if there are none."""
+    rows, found = classes_of(docs, id_col, text_col)
     out = rows.where("full").select("doc_id", "node").join(found, "node", "left").select("doc_id", "class_id", "n_links")
     return out.unionByName(rows.where("not full").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+def _with_node(docs: DataFrame, text_col: str) -> DataFrame:
+    """Whole rows with last columns ``_lq_node, _lq_full``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.columns[at].cast(pa.string()))
+            for i, j in chunks(offsets):
+                _, cuts, whole = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(whole.view(np.int64)), pa.array(np.diff(cuts) > 0)], names=[*part.schema.names, "_lq_node", "_lq_full"])
+
+    return docs.mapInArrow(run, docs.withColumn("_lq_node", F.lit(0).cast("long")).withColumn("_lq_full", F.lit(True)).schema)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of each class but its smallest id go; the columns stay. Of rows
-    that repeat an id that stays, all equal ones but one go as well."""
-    found = saved(join(docs, id_col, text_col), "found")
-    gone = saved(found.where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_lq_id")).distinct(), "gone")
-    again = saved(found.where("n_links > 0").groupBy(F.col("doc_id").alias("_lq_id")).agg(F.count("*").alias("n")).where("n > 1").select("_lq_id"), "again")
+    """One row of each class stays, with the columns it came with: the one with
+    the smallest id (null ids come last), among equal ids the smallest word
+    sequence by hash, among equal words the least by a hash of text and all
+    columns that have one. Rows without words all stay. Ids may repeat: where
+    all rows of an id go, the id decides; where some do, id and words decide.
+    An empty table gives no rows. Names that begin with ``_lq_`` are ours."""
+    rows, found = classes_of(docs, id_col, text_col)
+    judged = rows.join(found.select("node", "best"), "node", "left")
+    stays = ~F.col("full") | ((F.col("best.node") == F.col("node")) & F.col("best.id").eqNullSafe(F.col("doc_id")))
+    judged = saved(judged.select(F.col("doc_id").alias("_lq_id"), "node", "full", stays.alias("stays")), "judged")
+    ids = saved(judged.groupBy("_lq_id").agg(F.count("*").alias("n"), F.count_if("stays").alias("n_stay"), F.count_if("full").alias("n_full")).where("n_stay < n or n > 1"), "ids")
     on = F.col(id_col).cast("long").eqNullSafe(F.col("_lq_id"))
     # ids only, if there are not too many of them; else texts are shuffled
-    kept = docs.join(F.broadcast(gone) if gone.count() <= GONE_ROWS else gone, on, "left_anti")
-    if again.isEmpty():
+    few = lambda keys: F.broadcast(keys) if keys.count() <= GONE_ROWS else keys
+    kept = docs.join(few(ids.where("n_stay = 0").select("_lq_id")), on, "left_anti")
+    unclear = ids.where("n_stay > 0 and n > 1 and n_full > 0").select("_lq_id")
+    if unclear.isEmpty():
         return kept
-    return kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates([id_col, text_col]))
+    unclear = few(unclear)
+    some = _with_node(kept.join(unclear, on, "left_semi"), text_col)
+    best = judged.where("full and stays").select("_lq_id", F.col("node").alias("_lq_best")).distinct()
+    chosen = some.where("_lq_full").join(best, on & (F.col("_lq_node") == F.col("_lq_best")), "left_semi")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = chosen.groupBy(F.col(id_col).cast("long").alias("_lq_id"), "_lq_node").agg(F.min_by(whole, F.xxhash64(*hashed)).alias("_lq_row")).select("_lq_row.*")
+    return kept.join(unclear, on, "left_anti").unionByName(some.where("not _lq_full").select(*[F.col(f"`{c}`") for c in docs.columns])).unionByName(chosen)

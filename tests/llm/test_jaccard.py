@@ -81,6 +81,39 @@ def test_keep_one_leaves_one_of_each_group(spark):
     assert all(n == 1 for i, n in got.items() if i is not None)
 
 
+def test_keep_one_with_ids_that_repeat(spark):
+    a, b, c = ("one two three four five six", "quite another text with words", "a third one that none repeats")
+    keep = lambda data: sorted((tuple(r) for r in jaccard.keep_one(spark.createDataFrame(data, "doc_id long, text string, n int")).collect()), key=str)
+    # 5 has a copy of 1 and a text of its own
+    assert keep([(1, a, 0), (5, a, 0), (5, b, 0)]) == [(1, a, 0), (5, b, 0)]
+    # null ids: a copy goes, the others stay
+    assert keep([(3, a, 0), (None, a, 0), (None, c, 0), (None, "", 0), (None, "", 0)]) == sorted([(3, a, 0), (None, c, 0), (None, "", 0), (None, "", 0)], key=str)
+    # one row of equal words and id, and always the same one
+    assert len(keep([(7, a, 1), (7, a.upper(), 2), (7, a, 3)])) == 1
+    assert keep([(7, a, 1), (7, a, 3), (8, b, 0)]) == keep([(8, b, 0), (7, a, 3), (7, a, 1)])
+    assert keep([(None, a, 0), (None, a, 0)]) == [(None, a, 0)]
+
+
+def test_recall_on_a_larger_table(spark, sf):
+    """All pairs of sf0.01 that share a shingle, counted exactly."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    data = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    sets, where = {}, {}
+    for i, text in data:
+        words = [w.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))) for w in WORD.findall((text or "").encode())]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        for s in sets[i]:
+            where.setdefault(s, []).append(i)
+    both, links = Counter(), Counter(dict.fromkeys(sets, 0))
+    for members in where.values():
+        both.update((x, y) for k, x in enumerate(members) for y in members[:k])
+    for (x, y), n in both.items():
+        if n >= 0.8 * (len(sets[x]) + len(sets[y]) - n) - 1e-9:
+            links[x] += 1
+            links[y] += 1
+    assert {r.doc_id: r.n_links for r in jaccard.join(docs).collect()} == dict(links) and sum(links.values()) > 100
+
+
 def test_least_matches_is_the_posterior_rule():
     """Against numeric integration of the posterior."""
     x = np.linspace(0, 1, 200_001)
