@@ -7,7 +7,11 @@ them. Scoring reads texts once in Arrow batches; no shuffle of documents.
 
 Null or empty texts have no words and fail the base rule. Without labelled
 rows of both kinds the classifier keeps all. Repeated label rows of one id
-count once, with the lowest label; null labels are ignored.
+count once, with the lowest label; null labels are ignored. Of documents that
+share a labelled id, one is learned from, that with the least hash of its text.
+Every row is judged by itself, so repeated rows get equal verdicts; an empty
+table gives no rows. A probability equal to the threshold keeps the text.
+Equality of lines and of words is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -158,10 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
         .orderBy(F.xxhash64("id", F.lit(41)), "id").limit(rows)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # at most ``rows`` rows of two numbers
-    joined = texts.join(F.broadcast(picked), "id").select("id", "text", "label")
+    # at most ``rows`` rows of two numbers; of an id's texts the one with the least hash, so as many come back
+    joined = texts.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = joined.mapInArrow(_features, "label int, at binary, share binary").collect()
-    found = sorted(found, key=lambda r: (r["label"], r["at"], r["share"]))[: 2 * rows]
+    found = sorted(found, key=lambda r: (r["label"], r["at"], r["share"]))
     y = np.array([float(r["label"] > 0) for r in found])
     if not len(y) or y.min() == y.max():
         return None

@@ -69,3 +69,16 @@ def test_filter_keeps_columns(spark):
     kept = quality.keep_good(docs, None)
     assert kept.schema == docs.schema
     assert kept.count() == sum(not brute(r[1])[-1] for r in rows())
+
+
+def test_labelled_documents_that_occur_many_times(spark):
+    """Each labelled document counts once, so no label crowds out the other."""
+    good = [(i, f"a fine plain sentence number {i} about rivers and houses") for i in range(40)]
+    bad = [(100 + i, f"$$$ || spam {i} && ### <<>> buy now {i}") for i in range(40)]
+    docs = spark.createDataFrame((good + bad) * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in good + bad], "doc_id long, quality int")
+    model = quality.train(docs, labels, rows=200)
+    once = quality.train(spark.createDataFrame(good + bad, docs.schema), labels, rows=200)
+    assert model is not None and (model["weights"] == once["weights"]).all()
+    p = {r.doc_id: r.p_good for r in quality.judge(docs, model).collect()}
+    assert min(p[i] for i in range(40)) > max(p[100 + i] for i in range(40))
