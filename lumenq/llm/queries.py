@@ -59,9 +59,21 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base rule of op4 alone, which SQL can express."""
+    found = quality.judge(_table(spark, sf_dir, "documents"), None)
+    return found.select("doc_id", *quality.COUNTS, "base_failed")
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op10 alone, which SQL can express."""
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents"))).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_mixing_sources, op3_lm_scoring, op4_quality_rules, op5_benchmark_decontamination,
     op6_token_counts, op7_ngram_jaccard_join, op8_sharding, op9_suffix_array_dedup, op10_secret_scans,
+    quality_base_counts, secret_base_spans,
 )}
 
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
@@ -103,4 +115,20 @@ _OP8 = f"""WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambd
  cut AS (SELECT *, least(23, ((2 * before + size) * 24) // (2 * total))::INT AS shard FROM placed)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM cut"""
 
-ORACLES = {"op2_mixing_sources": _OP2, "op7_ngram_jaccard_join": _OP7, "op8_sharding": _OP8}
+_BASE_COUNTS = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS.format("text")} AS w FROM documents),
+ lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+ grams AS (SELECT r, i, array_to_string(w[i : i + {quality.WINDOW - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {quality.WINDOW - 2})) AS i FROM d)),
+ covered AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(i, i + {quality.WINDOW})) AS place FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM grams) WHERE k > 1) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+ coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(w) < {quality.MIN_WORDS} OR 100 * coalesce(c.n, 0) > {quality.MAX_REPEAT_PERCENT} * len(w) AS base_failed FROM d LEFT JOIN lines l USING (r) LEFT JOIN covered c USING (r)"""
+
+#: A match begins after the pieces between matches and the matches before it.
+_BASE_SPANS = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+ kinds(kind, name, p) AS (VALUES (0, 'assign', '{secrets.ASSIGN.replace("'", "''")}'), (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+')),
+ found AS (SELECT r, kind, name, unnest(regexp_extract_all(t, p)) AS hit, unnest(string_split_regex(t, p)[:-2]) AS gap, unnest(range(1, len(regexp_extract_all(t, p)) + 1)) AS k FROM d, kinds WHERE regexp_matches(t, p)),
+ placed AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r, kind ORDER BY k) AS e FROM found),
+ spans AS (SELECT r, kind, name, (e - length(hit))::BIGINT AS s, e::BIGINT AS e FROM placed WHERE CASE kind WHEN 0 THEN length(regexp_replace(hit, '^{secrets.ASSIGN_HEAD.replace("'", "''")}', '')) >= 12 WHEN 1 THEN length(hit) >= 18 ELSE length(hit) >= 16 END),
+ per AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS x FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(x, '')) AS base_sha256 FROM d LEFT JOIN per USING (r)"""
+
+ORACLES = {"quality_base_counts": _BASE_COUNTS, "secret_base_spans": _BASE_SPANS, "op2_mixing_sources": _OP2, "op7_ngram_jaccard_join": _OP7, "op8_sharding": _OP8}
