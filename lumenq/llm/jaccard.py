@@ -5,7 +5,10 @@ text with any number of copies is one row). Class representatives get MinHash
 band keys; a bucket ties its members to its smallest one, and the connected
 components of these ties split the candidates into groups that contain every
 candidate pair. A group is cut into blocks of at most about BLOCK members and
-every pair of blocks is one unit of work, so no task holds a large group.
+every pair of blocks is one unit of work, so no task holds a large group. A
+group of over MANY blocks that hangs together by small buckets (a long chain of
+texts, each like the next) is compared bucket by bucket instead, where that
+ships fewer sets; a pair counts in its first common bucket.
 Within a unit, MinHash values are compared step by step and a pair is dropped
 as soon as the posterior probability that its similarity reaches the threshold
 falls below TOLERANCE (uniform prior); the rest is verified exactly on the
@@ -34,6 +37,8 @@ from .shared import Prefix, chunks, lowered, mix, release, runs, saved, separato
 SHINGLE, THRESHOLD, ROWS, BANDS, TOLERANCE = 5, 0.8, 6, 40, 1e-6
 #: Members of a block; candidate rows (of 32 bytes) up to which they are broadcast.
 BLOCK, BROADCAST_ROWS = 512, 500_000
+#: Blocks of a group from which it may be compared by buckets.
+MANY = 16
 #: Ids (of 8 bytes) up to which those to remove are broadcast.
 GONE_ROWS = 2_000_000
 #: MinHash values compared after each step.
@@ -108,14 +113,18 @@ def least_matches(compared: int, threshold: float, tolerance: float) -> int:
     return compared
 
 
-def unit_links(sets: list[np.ndarray], side: np.ndarray, cross: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of one unit that reach the threshold; only pairs of two sides if ``cross``."""
+def unit_links(sets: list[np.ndarray], side: np.ndarray, cross: bool, threshold: float = THRESHOLD, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of one unit that reach the threshold; only pairs of two sides
+    if ``cross``, and none that agree in a column of ``earlier``."""
     size = np.array([len(s) for s in sets])
     i, j = np.triu_indices(len(sets), 1)
     ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
     if cross:
         ok &= side[i] != side[j]
     i, j = i[ok], j[ok]
+    if earlier is not None and earlier.shape[1] and len(i):
+        new = np.concatenate([~(earlier[i[a : a + 65536]] == earlier[j[a : a + 65536]]).any(1) for a in range(0, len(i), 65536)])
+        i, j = i[new], j[new]
     if not len(i):
         return i, j
     keys = np.concatenate(sets)
@@ -176,7 +185,9 @@ def _units(batches):
         node = node[keep]
         copies = np.array([held[k][1] for k in keep], np.int64)
         side = np.array([held[k][2] for k in keep])
-        i, j = unit_links([np.frombuffer(held[k][3], np.uint64) for k in keep], side, unit[1] != unit[2])
+        number = unit[3]  # of the band, in a unit of one bucket
+        earlier = None if number is None else np.array([held[k][4][:number] for k in keep], np.int64).reshape(len(keep), number)
+        i, j = unit_links([np.frombuffer(held[k][3], np.uint64) for k in keep], side, unit[1] != unit[2], earlier=earlier)
         if len(i):
             n = len(node)
             partners = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
@@ -186,13 +197,13 @@ def _units(batches):
             yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array(node[root[mine]]), pa.array(partners[mine], pa.int64()), pa.array(links[mine].astype(np.int64))], names=["node", "buddy", "partners", "links"])
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("comp", "low", "high", "node", "copies", "side", "set")]
-        for comp, low, high, node, copies, side, packed in zip(*columns, strict=True):
-            if unit != (comp, low, high):
+        columns = [batch.column(c).to_pylist() for c in ("comp", "low", "high", "k", "node", "copies", "side", "set", "bands")]
+        for comp, low, high, k, node, copies, side, packed, bands in zip(*columns, strict=True):
+            if unit != (comp, low, high, k):
                 if len(held) > 1:
                     yield from work()
-                held, unit = [], (comp, low, high)
-            held.append((node, copies, side, packed))
+                held, unit = [], (comp, low, high, k)
+            held.append((node, copies, side, packed, bands))
     if len(held) > 1:
         yield from work()
 
@@ -209,10 +220,41 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("comp", "blocks", "node", "copies")], pa.array(packed, pa.binary())], names=["comp", "blocks", "node", "copies", "set"])
 
 
-def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows as ``doc_id, node, full`` (the word sequence, whether it has words),
-    and of each node ``class_id``, ``n_links`` and its class's best row: the one
-    with the smallest id, among equal ids the one with the smallest node."""
+def _by_bucket(classes: DataFrame, groups: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The groups to be compared by pairs of blocks, and of the others each
+    node's buckets (comp, k, blocks): large groups that ship fewer sets so."""
+    large = sizes.where(F.col("members") > MANY * BLOCK)
+    if large.isEmpty():
+        return groups, None
+    filed = classes.select("node", F.posexplode("bands").alias("k", "comp")).join(groups.join(large.select("root"), "root"), "node")
+    buckets = filed.groupBy("root", "k", "comp").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    buckets = saved(buckets, "buckets")
+    costs = buckets.groupBy("root").agg(F.sum(F.col("n") * F.col("blocks")).alias("sets")).join(large, "root")
+    chains = saved(costs.where(F.col("sets") < F.col("members") * F.ceil(F.col("members") / BLOCK)).select("root"), "chains")
+    found = filed.join(buckets.join(chains, "root", "left_semi").select("k", "comp", "blocks"), ["k", "comp"])
+    return groups.join(chains, "root", "left_anti"), saved(found.select("node", "k", "comp", "blocks"), "by_bucket")
+
+
+def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The shingle sets of the wanted nodes; ids only are broadcast, if there are not too many."""
+    small = wanted.count() <= BROADCAST_ROWS
+    sets = texts.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "comp", "blocks", "node", "copies")
+    return sets.mapInArrow(_sets, "comp long, blocks int, node long, copies long, set binary")
+
+
+def _units_of(sets: DataFrame) -> DataFrame:
+    """Each set once for every pair of blocks that its own is in."""
+    side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    units = sets.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
+    return units.select("comp", "low", "high", "k", "node", "copies", "side", "set", "bands")
+
+
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Rows as ``doc_id, node, full`` (the word sequence, whether it has words); of
+    each node ``class_id``, ``n_links`` and its class's best row: the one with the
+    smallest id, among equal ids the one with the smallest node; and the saved
+    tables behind both."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = texts.mapInArrow(_fingerprint, "doc_id long, node long, full boolean, bands array<long>")
     rows = saved(prints.select("doc_id", "node", "full", F.when(F.col("full"), F.col("bands")).alias("bands")), "prints")
@@ -223,15 +265,16 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ties = banded.join(shared_bands, "band").where("node != pivot").select("node", "pivot")
     groups = components(ties)
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
+    groups, buckets = _by_bucket(classes, groups, sizes)
     wanted = groups.join(sizes, "root").join(classes.select("node", "rep", "copies"), "node")
     wanted = saved(wanted.select(F.col("root").alias("comp"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), "node", "rep", "copies"), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
-    sets = texts.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "comp", "blocks", "node", "copies")
-    sets = sets.mapInArrow(_sets, "comp long, blocks int, node long, copies long, set binary")
-    side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    units = sets.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "blocks")
-    units = spread(units, "comp", "low", "high").sortWithinPartitions("comp", "low", "high", "node")
+    none = [F.lit(None).cast("int").alias("k"), F.lit(None).cast("array<long>").alias("bands")]
+    units = _units_of(_sets_of(texts, wanted).select("*", *none))
+    if buckets is not None:
+        single = buckets.select("node").distinct().join(classes.select("node", "rep", "copies"), "node").select(F.col("node").alias("comp"), F.lit(1).alias("blocks"), "node", "rep", "copies")
+        sets = saved(_sets_of(texts, single).select("node", "copies", "set"), "sets").join(classes.select("node", "bands"), "node")
+        units = units.unionByName(_units_of(buckets.join(sets, "node")))
+    units = spread(units, "comp", "low", "high", "k").sortWithinPartitions("comp", "low", "high", "k", "node")
     linked = saved(units.mapInArrow(_units, "node long, buddy long, partners long, links long"), "links")
     ends = components(linked.select("node", "buddy"))
     best = F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), F.col("node").alias("node"))
@@ -240,13 +283,13 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = classes.select("node", "rep", "copies").join(found, "node", "left")
     found = found.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("best", best).alias("best"))
     release(wanted)
-    return rows.select("doc_id", "node", "full"), found
+    return rows.select("doc_id", "node", "full"), found, [rows, classes, linked]
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links`` of each row; ``class_id`` is the smallest id
     of the rows connected with it by links, its own if there are none."""
-    rows, found = classes_of(docs, id_col, text_col)
+    rows, found, _ = classes_of(docs, id_col, text_col)
     out = rows.where("full").select("doc_id", "node").join(found, "node", "left").select("doc_id", "class_id", "n_links")
     return out.unionByName(rows.where("not full").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
@@ -273,10 +316,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     columns that have one. Rows without words all stay. Ids may repeat: where
     all rows of an id go, the id decides; where some do, id and words decide.
     An empty table gives no rows. Names that begin with ``_lq_`` are ours."""
-    rows, found = classes_of(docs, id_col, text_col)
+    rows, found, behind = classes_of(docs, id_col, text_col)
     judged = rows.join(found.select("node", "best"), "node", "left")
     stays = ~F.col("full") | ((F.col("best.node") == F.col("node")) & F.col("best.id").eqNullSafe(F.col("doc_id")))
     judged = saved(judged.select(F.col("doc_id").alias("_lq_id"), "node", "full", stays.alias("stays")), "judged")
+    for table in behind:
+        release(table)
     ids = saved(judged.groupBy("_lq_id").agg(F.count("*").alias("n"), F.count_if("stays").alias("n_stay"), F.count_if("full").alias("n_full")).where("n_stay < n or n > 1"), "ids")
     on = F.col(id_col).cast("long").eqNullSafe(F.col("_lq_id"))
     # ids only, if there are not too many of them; else texts are shuffled

@@ -59,6 +59,20 @@ def test_links_match_brute_force(spark, monkeypatch):
     assert Counter(tuple(r) for r in again) == brute(data)
 
 
+def test_a_long_chain_is_compared_by_buckets(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2100)]
+    data = [(i, " ".join(words[5 * i : 5 * i + 100]), *[None] * 7) for i in range(400)] + rows(20)
+    data += [(20_000 + i, t, *[None] * 7) for i, t in enumerate(near_copies(30, 5))]
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "MANY", 2)
+    chosen, by_bucket = [], jaccard._by_bucket
+    monkeypatch.setattr(jaccard, "_by_bucket", lambda *a: chosen.append(by_bucket(*a)) or chosen[-1])
+    got = jaccard.join(spark.createDataFrame(data, SCHEMA)).collect()
+    assert Counter(tuple(r) for r in got) == brute(data)
+    assert chosen[0][1].select("node").distinct().count() >= 390
+
+
 def test_on_the_given_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = Counter(tuple(r) for r in jaccard.join(docs).collect())
