@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 #: Kernels take at most this many bytes of text at once, one text at least.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
