@@ -7,34 +7,38 @@ add-half share of the bucket's training tokens, so the score is a log10
 probability of the whole text on the same footing as the base score.
 
 Counts cover every training token: one row per distinct token of a batch is
-shuffled. Training is truncated back-propagation in numpy where the data are:
-every text outside the held fold is cut into pieces of PIECE tokens, which are
-dealt over the ROUNDS in turn, so that each training token is read once. After
-a round the tasks' weights are averaged by a tree of small aggregations. Scoring
-packs whole texts into lanes and carries the state from window to window to
-the end of each text. Counts of the HEAD most frequent tokens are broadcast
+shuffled. Every text outside the held fold is then cut into pieces of PIECE
+symbols, written once and dealt by a hash of id, text and place over shards of
+about SHARD tokens and over ROUNDS rounds, so each training token is read in
+one round, and weights do not depend on how the table lies. Training is
+truncated back-propagation in numpy, shard by shard; after a round the shards'
+weights are averaged by a tree of small aggregations. Scoring packs whole texts
+into lanes and carries the state from window to window to the end of each
+text; lanes are held flat, so memory grows with the tokens of a batch and not
+with its longest text. Counts of the HEAD most frequent tokens are broadcast
 (fixed size); the others are joined by a shuffle of (row, rare token).
 
-A null text is empty and has only its end token. Without training rows every
-count is 0 and both scores are those of an empty model. Token identity rests
-on 64-bit hashes.
+A null text is empty and has only its end token; a null id is of the fold of
+the empty text. Repeated rows are scored alike and counted as often as they
+occur. Without training rows every count is 0 and both scores are those of an
+empty model; an empty table gives no rows. Token identity rests on 64-bit
+hashes.
 """
 
 from __future__ import annotations
 
 import heapq
-import io
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Prefix, chunks, find, lowered, mix, remainder, runs, saved, separators, text_bytes
+from .shared import Prefix, chunks, find, lowered, mix, one_thread, release, remainder, runs, saved, separators, spread, text_bytes
 
 MODEL_WORDS, TAIL, CLASSES, HIDDEN, HEAD = 2048, 32, 48, 24, 1 << 18
-PIECE, ROUNDS, STEPS, LANES, RATE = 64, 2, 16, 64, 0.01
-SCORE_LANES, WINDOW = 512, 64
+PIECE, SHARD, ROUNDS, STEPS, LANES, RATE = 64, 1 << 20, 2, 16, 64, 0.01
+SCORE_LANES, WINDOW, STEEP = 512, 32, 80
 END = np.uint64(0x5E4D0FE4D)
 _KINDS = TAIL  # the end token has a bucket of its own
 
@@ -99,6 +103,10 @@ class Vocabulary:
         words = np.argsort(key[:top])
         self.word_keys, self.word_rank = key[:top][words], words
         self.top = top
+        #: Of each frequent token its symbol (-1 in a bucket) and the logarithm of its count.
+        self.key_symbol = np.full(len(key), -1, np.int32)
+        self.key_symbol[np.searchsorted(self.keys, key[:top])] = self.symbol[:top]
+        self.key_log, self.tail_log = np.log10(self.counts + 0.5), np.log10(self.tail_mass)
 
     def symbols(self, keys: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol of each token, and which are in a bucket."""
@@ -107,157 +115,219 @@ class Vocabulary:
         return self.symbol[place], ~known
 
 
-def fresh(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """Weights that start as the unigram model."""
-    rng = np.random.default_rng(11)
-    n, c = len(vocabulary.cls), int(vocabulary.cls[-1]) + 1
-    by_class = np.logaddexp.reduceat(vocabulary.log_mass, vocabulary.cuts[:-1])
-    draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    return {
-        "x": draw(n, 3 * HIDDEN), "u": draw(HIDDEN, 3 * HIDDEN), "wc": draw(HIDDEN, c) * 0.1, "bc": by_class.astype(np.float32),
-        "wo": draw(n, HIDDEN) * 0.1, "bo": (vocabulary.log_mass - by_class[vocabulary.cls]).astype(np.float32),
-    }
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def views(flat: np.ndarray, v: Vocabulary) -> dict[str, np.ndarray]:
+    """The weights of the network in one vector, by name; output weights end with their bias."""
+    n, c = len(v.cls), int(v.cls[-1]) + 1
+    out, at = {}, 0
+    for name, shape in (("x", (n, 3 * HIDDEN)), ("u", (HIDDEN, 3 * HIDDEN)), ("wc", (HIDDEN + 1, c)), ("wo", (n, HIDDEN + 1))):
+        size = int(np.prod(shape))
+        out[name] = flat[at : at + size].reshape(shape)
+        at += size
+    return out
 
 
-def cell(w: dict, h: np.ndarray, symbol: np.ndarray) -> tuple:
-    """One step of the gated unit; what the way back needs comes along."""
-    x, s = w["x"][symbol], h @ w["u"]
-    gates = _sigmoid(x[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+def fresh(v: Vocabulary) -> np.ndarray:
+    """Weights that start as the unigram model."""
+    rng = np.random.default_rng(11)
+    n, c = len(v.cls), int(v.cls[-1]) + 1
+    by_class = np.logaddexp.reduceat(v.log_mass, v.cuts[:-1])
+    flat = np.zeros(n * (4 * HIDDEN + 1) + HIDDEN * (3 * HIDDEN + c) + c, np.float32)
+    w = views(flat, v)
+    for name, scale in (("x", 0.1), ("u", 0.1), ("wc", 0.01), ("wo", 0.01)):
+        w[name][:] = rng.normal(0, scale, w[name].shape)
+    w["wc"][-1], w["wo"][:, -1] = by_class, v.log_mass - by_class[v.cls]
+    return flat
+
+
+def _sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
+def cell(u: np.ndarray, h: np.ndarray, gates: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One step of the gated unit: state after it, and the state's part in the
+    new value. ``gates`` (update, reset) and ``new`` hold what the symbols put
+    in, and afterwards their values."""
+    s = h @ u
+    gates += s[:, : 2 * HIDDEN]
+    _sigmoid(gates)
     side = s[:, 2 * HIDDEN :]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * side)
-    return n + z * (h - n), z, r, n, side
+    new += gates[:, HIDDEN:] * side
+    np.tanh(new, out=new)
+    out = h - new
+    out *= gates[:, :HIDDEN]
+    out += new
+    return out, side
 
 
 def output(w: dict, v: Vocabulary, h: np.ndarray, symbol: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each symbol given the state before it; with
-    ``grads`` also the gradient of the negative sum by state, and by weight."""
-    cls = v.cls[symbol]
-    rows = np.arange(len(h))
-    logits = h @ w["wc"] + w["bc"]
-    logits -= logits.max(1, keepdims=True)
-    p = np.exp(logits)
+    ``grads`` (zero before) also the gradient of the negative sum by state, and by weight."""
+    order = np.argsort(v.cls[symbol], kind="stable")
+    symbol = symbol[order]
+    one = np.ones((len(h), HIDDEN + 1), h.dtype)  # the state and a constant for the bias
+    one[:, :HIDDEN] = h[order]
+    cls, rows = v.cls[symbol], np.arange(len(order))
+    p = one @ w["wc"]
+    p -= p.max(1, keepdims=True)
+    out = p[rows, cls]
+    np.exp(p, out=p)
     total = p.sum(1)
-    out = logits[rows, cls] - np.log(total)
+    out -= np.log(total)
     back = None
     if grads is not None:
         p /= total[:, None]
         p[rows, cls] -= 1
-        grads["wc"] += h.T @ p
-        grads["bc"] += p.sum(0)
+        np.matmul(one.T, p, out=grads["wc"])
         back = p @ w["wc"].T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(len(v.cuts)))
-    for c in np.flatnonzero(np.diff(bounds)):
-        mine = order[bounds[c] : bounds[c + 1]]
-        a, b = v.cuts[c], v.cuts[c + 1]
-        hc, at = h[mine], symbol[mine] - a
-        logits = hc @ w["wo"][a:b].T + w["bo"][a:b]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
-        rows = np.arange(len(mine))
-        out[mine] += logits[rows, at] - np.log(total)
-        if grads is not None:
-            p /= total[:, None]
-            p[rows, at] -= 1
-            grads["wo"][a:b] += p.T @ hc
-            grads["bo"][a:b] += p.sum(0)
-            back[mine] += p @ w["wo"][a:b]
-    return out, back
-
-
-def gradients(w: dict, v: Vocabulary, h: np.ndarray, symbol: np.ndarray, begin: np.ndarray) -> tuple[float, dict, np.ndarray]:
+    # the symbols of each token's class, one token after another
+    wide = np.diff(v.cuts)[cls]
+    starts = np.cumsum(wide)
+    flat = np.empty(int(starts[-1]), h.dtype)
+    starts -= wide
+    bounds = np.searchsorted(cls, np.arange(len(v.cuts)))
+    begins = np.append(starts, len(flat))[bounds]
+    parts = [(slice(bounds[c], bounds[c + 1]), slice(v.cuts[c], v.cuts[c + 1]), flat[begins[c] : begins[c + 1]].reshape(bounds[c + 1] - bounds[c], -1)) for c in np.flatnonzero(np.diff(bounds)).tolist()]
+    for mine, members, part in parts:
+        np.matmul(one[mine], w["wo"][members].T, out=part)
+    hit = starts + symbol - v.cuts[cls]
+    np.clip(flat, -STEEP, STEEP, out=flat)  # in reach of exp; classes are small, so their sums are too
+    out += flat[hit]
+    np.exp(flat, out=flat)
+    total = np.add.reduceat(flat, starts)
+    out -= np.log(total)
+    logp, states = np.empty_like(out), None
+    logp[order] = out
+    if grads is not None:
+        flat *= np.repeat(1 / total, wide)
+        flat[hit] -= 1
+        for mine, members, part in parts:
+            np.matmul(part.T, one[mine], out=grads["wo"][members])
+            back[mine] += part @ w["wo"][members]
+        states = np.empty_like(h)
+        states[order] = back[:, :HIDDEN]
+    return logp, states
+
+
+def gradients(w: dict, v: Vocabulary, h: np.ndarray, symbol: np.ndarray, begin: np.ndarray, grads: dict) -> tuple[float, np.ndarray]:
     """Truncated back-propagation over one window (steps x lanes; symbol -1 is
-    padding, ``begin`` marks first tokens): loss, gradients, state after it."""
+    padding, ``begin`` marks first tokens): loss and state after it; the
+    gradients go to ``grads``, zero before. What does not need the step before is
+    worked out for the whole window at once."""
     steps, lanes = symbol.shape
     real = symbol >= 0
     fed = np.maximum(symbol, 0)
-    before = np.empty((steps, lanes, HIDDEN), np.float32)
-    kept = []
+    gates, new = w["x"][:, : 2 * HIDDEN][fed], w["x"][:, 2 * HIDDEN :][fed]
+    before, side = np.empty_like(new), np.empty_like(new)
+    fresh_at = begin.any(1).tolist()
     for t in range(steps):
-        h = np.where(begin[t][:, None], np.float32(0), h)
+        if fresh_at[t]:
+            h = np.where(begin[t][:, None], new.dtype.type(0), h)
         before[t] = h
-        h, *rest = cell(w, h, fed[t])
-        kept.append(rest)
-    grads = {k: np.zeros_like(x) for k, x in w.items()}
+        h, side[t] = cell(w["u"], h, gates[t], new[t])
     logp, back = output(w, v, before[real], symbol[real], grads)
-    from_output = np.zeros_like(before)
-    from_output[real] = back
-    dx, ds = np.empty((steps, lanes, 3 * HIDDEN), np.float32), np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-    dh = np.zeros((lanes, HIDDEN), np.float32)
+    dh_all = np.zeros_like(before)
+    dh_all[real] = back  # from the output; the loop adds what comes back through time
+    update, reset = gates[..., :HIDDEN], gates[..., HIDDEN:]
+    by_new = (1 - update) * (1 - new * new)
+    # of the update gate, the reset gate and the state's part in the new value, by the state's gradient
+    ds = np.empty((steps, lanes, 3, HIDDEN), new.dtype)
+    ds[:, :, 0] = (before - new) * update * (1 - update)
+    ds[:, :, 1] = by_new * side * reset * (1 - reset)
+    ds[:, :, 2] = by_new * reset
+    dh = np.zeros((lanes, HIDDEN), new.dtype)
+    u_back = np.ascontiguousarray(w["u"].T)
     for t in range(steps - 1, -1, -1):
-        z, r, n, side = kept[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before[t] - n) * z * (1 - z)
-        dr = dn * side * r * (1 - r)
-        dx[t, :, :HIDDEN] = ds[t, :, :HIDDEN] = dz
-        dx[t, :, HIDDEN : 2 * HIDDEN] = ds[t, :, HIDDEN : 2 * HIDDEN] = dr
-        dx[t, :, 2 * HIDDEN :] = dn
-        ds[t, :, 2 * HIDDEN :] = dn * r
-        dh = dh * z + ds[t] @ w["u"].T + from_output[t]
-        dh = np.where(begin[t][:, None], np.float32(0), dh)
-    grads["u"] = before.reshape(-1, HIDDEN).T @ ds.reshape(-1, 3 * HIDDEN)
-    flat, dx = fed.ravel(), dx.reshape(-1, 3 * HIDDEN)
-    order = np.argsort(flat, kind="stable")
-    new = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
-    grads["x"][flat[order][new]] = np.add.reduceat(dx[order], new)
-    return float(-logp.sum()), grads, h
-
-
-def lanes(pieces: list[np.ndarray], n_lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = ds[t]
+        part *= dh[:, None, :]
+        after, dh = dh, part.reshape(lanes, -1) @ u_back
+        dh += after * update[t]
+        dh += dh_all[t]
+        dh_all[t] = after
+        if fresh_at[t]:
+            dh = np.where(begin[t][:, None], new.dtype.type(0), dh)
+    flat = ds.reshape(-1, 3 * HIDDEN)
+    np.matmul(before.reshape(-1, HIDDEN).T, flat, out=grads["u"])
+    flat[:, 2 * HIDDEN :] = (dh_all * by_new).reshape(-1, HIDDEN)  # now by what the symbols put in
+    fed = fed.ravel()
+    order = np.argsort(fed, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(fed[order]) > 0]))
+    grads["x"][fed[order][first]] = np.add.reduceat(flat[order], first)
+    return float(-logp.sum()), h
+
+
+class Lanes:
     """Pieces laid end to end in lanes of about equal length, the longest lane
-    first: symbols (steps x lanes, -1 after the end), first tokens, piece numbers."""
-    order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
-    load = [(0, b) for b in range(min(n_lanes, max(1, len(pieces))))]
-    place: list[list[int]] = [[] for _ in load]
-    for k in order:
-        n, b = heapq.heappop(load)
-        place[b].append(k)
-        heapq.heappush(load, (n + len(pieces[k]), b))
-    long = sorted(((n, b) for n, b in load), reverse=True)
-    steps = long[0][0]
-    symbol = np.full((steps, len(long)), -1, np.int32)
-    begin = np.zeros((steps, len(long)), bool)
-    piece = np.zeros((steps, len(long)), np.int32)
-    for lane, (_, b) in enumerate(long):
-        t = 0
-        for k in place[b]:
-            n = len(pieces[k])
-            symbol[t : t + n, lane] = pieces[k]
-            piece[t : t + n, lane] = k
-            begin[t, lane] = True
-            t += n
-    return symbol, begin, piece
+    first; held flat, lane after lane, so as large as the pieces are."""
+
+    def __init__(self, pieces: list[np.ndarray], n_lanes: int):
+        load = [(0, b) for b in range(min(n_lanes, max(1, len(pieces))))]
+        place: list[list[int]] = [[] for _ in load]
+        for k in sorted(range(len(pieces)), key=lambda k: -len(pieces[k])):
+            n, b = heapq.heappop(load)
+            place[b].append(k)
+            heapq.heappush(load, (n + len(pieces[k]), b))
+        long = sorted(((n, b) for n, b in load), reverse=True)
+        self.length = np.array([n for n, _ in long])
+        self.start = np.cumsum(self.length) - self.length
+        inside = [k for _, b in long for k in place[b]]
+        size = np.array([len(pieces[k]) for k in inside])
+        self.symbol = np.concatenate([pieces[k] for k in inside]) if inside else np.zeros(0, np.int32)
+        self.piece = np.repeat(inside, size)
+        self.begin = np.zeros(len(self.symbol), bool)
+        self.begin[(np.cumsum(size) - size)[size > 0]] = True
+
+    def windows(self, steps: int):
+        """Symbols (steps x lanes, -1 after the end), first tokens, piece numbers of each window;
+        lanes end one after another, the last ones first."""
+        for t in range(0, int(self.length[0]), steps):
+            at = np.arange(t, min(t + steps, int(self.length[0])))[:, None]
+            length = self.length[self.length > t]
+            real = at < length
+            at = np.where(real, self.start[: len(length)] + at, 0)
+            yield np.where(real, self.symbol[at], -1), self.begin[at] & real, self.piece[at]
 
 
 class Adam:
-    def __init__(self, w: dict):
-        self.w, self.t = w, 0
-        self.m = {k: np.zeros_like(x) for k, x in w.items()}
-        self.s = {k: np.zeros_like(x) for k, x in w.items()}
+    """Steps on one vector of weights, in place."""
+
+    def __init__(self, flat: np.ndarray):
+        self.flat, self.t = flat, 0
+        self.mean, self.square, self.spare = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
 
-    def step(self, grads: dict, scale: float) -> None:
+    def step(self, g: np.ndarray, scale: float) -> None:
+        """``g`` is used up."""
         self.t += 1
-        for k, g in grads.items():
-            g = np.clip(g * np.float32(scale), -1, 1)
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.s[k] += 0.01 * (g * g - self.s[k])
-            self.w[k] -= (RATE / (1 - 0.9**self.t)) * self.m[k] / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-6)
-
-
-def fit(w: dict, v: Vocabulary, pieces: list[np.ndarray], optimizer: Adam) -> int:
-    symbol, begin, _ = lanes(pieces, LANES)
-    h, seen = np.zeros((symbol.shape[1], HIDDEN), np.float32), 0
-    for t in range(0, len(symbol), STEPS):
-        part = symbol[t : t + STEPS]
-        n = int((part >= 0).sum())
-        _, grads, h = gradients(w, v, h, part, begin[t : t + STEPS])
-        optimizer.step(grads, 1 / n)
+        g *= np.float32(scale)
+        np.clip(g, -1, 1, out=g)
+        spare = self.spare
+        np.multiply(g, g, out=spare)
+        spare -= self.square
+        spare *= np.float32(0.01)
+        self.square += spare
+        g -= self.mean
+        g *= np.float32(0.1)
+        self.mean += g
+        np.multiply(self.square, np.float32(1 / (1 - 0.99**self.t)), out=spare)
+        np.sqrt(spare, out=spare)
+        spare += np.float32(1e-6)
+        np.divide(self.mean, spare, out=spare)
+        spare *= np.float32(RATE / (1 - 0.9**self.t))
+        self.flat -= spare
+
+
+def fit(v: Vocabulary, pieces: list[np.ndarray], optimizer: Adam) -> int:
+    w, g = views(optimizer.flat, v), np.empty_like(optimizer.flat)
+    grads, seen = views(g, v), 0
+    h = np.zeros((LANES, HIDDEN), np.float32)
+    for symbol, begin, _ in Lanes(pieces, LANES).windows(STEPS):
+        g[:] = 0
+        _, h = gradients(w, v, h[: symbol.shape[1]], symbol, begin, grads)
+        n = int((symbol >= 0).sum())
+        optimizer.step(g, 1 / n)
         seen += n
     return seen
 
@@ -267,116 +337,140 @@ def log10_probabilities(w: dict, v: Vocabulary, pieces: list[np.ndarray]) -> np.
     out = np.zeros(len(pieces))
     if not pieces:
         return out
-    symbol, begin, piece = lanes(pieces, SCORE_LANES)
-    h = np.zeros((symbol.shape[1], HIDDEN), np.float32)
-    for t in range(0, len(symbol), WINDOW):
-        part = symbol[t : t + WINDOW]
-        real = part >= 0
-        width = int(real[0].sum())  # lanes end one after another, the last ones first
-        before = np.empty((len(part), width, HIDDEN), np.float32)
-        h = h[:width]
-        for k in range(len(part)):
-            h = np.where(begin[t + k, :width, None], np.float32(0), h)
-            before[k] = h
-            h = cell(w, h, np.maximum(part[k, :width], 0))[0]
-        real = real[:, :width]
-        logp, _ = output(w, v, before[real], part[:, :width][real])
-        out += np.bincount(piece[t : t + WINDOW, :width][real], weights=logp, minlength=len(pieces))
+    h = np.zeros((SCORE_LANES, HIDDEN), np.float32)
+    for_gates, for_new = (np.ascontiguousarray(x) for x in np.split(w["x"], [2 * HIDDEN], axis=1))
+    for symbol, begin, piece in Lanes(pieces, SCORE_LANES).windows(WINDOW):
+        h, fresh_at = h[: symbol.shape[1]], begin.any(1)
+        before = np.empty((*symbol.shape, HIDDEN), np.float32)
+        for t in range(len(symbol)):
+            if fresh_at[t]:
+                h = np.where(begin[t][:, None], np.float32(0), h)
+            before[t] = h
+            put = np.maximum(symbol[t], 0)
+            h = cell(w["u"], h, for_gates[put], for_new[put])[0]
+        real = symbol >= 0
+        logp, _ = output(w, v, before[real], symbol[real])
+        out += np.bincount(piece[real], weights=logp, minlength=len(pieces))
     return out / np.log(10)
 
 
-def _pack(w: dict) -> bytes:
-    held = io.BytesIO()
-    np.savez(held, **w)
-    return held.getvalue()
-
-
-def _unpack(raw: bytes) -> dict:
-    return dict(np.load(io.BytesIO(raw)))
-
-
 def _average(batches):
-    total, mean = 0.0, None
+    """Mean weights of each group of shards by their tokens; rows come sorted."""
+    group, total, mean = None, 0.0, None
+    schema = pa.schema([("shard", pa.int32()), ("n", pa.float64()), ("weights", pa.binary())])
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([total]), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], schema=schema)
     for batch in batches:
-        for n, raw in zip(batch.column("n").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-            w = _unpack(raw)
+        for k, (g, n) in enumerate(zip(batch.column("grouped").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+            w = np.frombuffer(batch.column("weights")[k].as_buffer(), np.float32)
+            if g != group:
+                if group is not None:
+                    yield done()
+                group, total, mean = g, 0.0, np.zeros(len(w))
             total += n
-            mean = w if mean is None else {k: mean[k] + (w[k] - mean[k]) * np.float32(n / total) for k in w}
-    if mean is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([_pack(mean)], pa.binary())], names=["n", "weights"])
+            mean += (w - mean) * (n / total)
+    if group is not None:
+        yield done()
 
 
-def _averaged(trained: DataFrame, tasks: int) -> bytes | None:
-    """The tasks' mean weights by token; at most 32 of them meet in one task."""
+def _averaged(trained: DataFrame, shards: int) -> np.ndarray | None:
+    """The shards' mean weights by token; 32 of them make one at a time."""
     trained = saved(trained, "weights")
-    while tasks > 1:
-        tasks = -(-tasks // 32)
-        trained = saved(trained.repartition(tasks).mapInArrow(_average, "n double, weights binary"), "weights")
+    while shards > 1:
+        shards = -(-shards // 32)
+        grouped = trained.withColumn("grouped", F.floor(F.col("shard") / 32).cast("int")).repartition(shards, "grouped").sortWithinPartitions("grouped", "shard")
+        before, trained = trained, saved(grouped.mapInArrow(_average, "shard int, n double, weights binary"), "weights")
+        release(before)
     found = trained.limit(1).collect()
-    return found[0]["weights"] if found else None
+    release(trained)
+    return np.frombuffer(found[0]["weights"], np.float32).copy() if found else None
 
 
-def learn(texts: DataFrame) -> tuple[Vocabulary, dict, DataFrame]:
-    """Vocabulary, weights and the table of all counts, from one string column."""
-    counts = texts.mapInArrow(_count, "token long, kind int, n long").groupBy("token").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"))
+def _pieces(batches, v: Vocabulary, shards: int):
+    """Pieces of texts as packed symbols, with the shard, round and place of each."""
+    for batch in batches:
+        keys, kinds, cuts = tokens(batch.column("text"))
+        symbol = v.symbols(keys, kinds)[0].astype("<i2")
+        many = -(-np.diff(cuts) // PIECE)
+        owner = np.repeat(np.arange(len(many)), many)
+        index = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        ends = np.append(cuts[owner] + index * PIECE, cuts[-1]).astype(np.int32) * 2
+        text = mix(batch.column("key").to_numpy().view(np.uint64))[owner]
+        place = mix(text + index.astype(np.uint64) * np.uint64(ROUNDS + 1))
+        turn = (text + index.astype(np.uint64)) % np.uint64(ROUNDS)
+        packed = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(symbol.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array((place % np.uint64(shards)).astype(np.int32)), pa.array(turn.astype(np.int32)), pa.array(place.view(np.int64)), packed], names=["shard", "turn", "place", "symbols"])
+
+
+def _train(batches, v: Vocabulary, start: np.ndarray):
+    """Weights of each shard after its pieces; rows come sorted by shard and place."""
+    shard, optimizer, seen, held, size = None, None, 0, [], 0
+    schema = pa.schema([("shard", pa.int32()), ("n", pa.float64()), ("weights", pa.binary())])
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(seen)]), pa.array([optimizer.flat.tobytes()], pa.binary())], schema=schema)
+    for batch in batches:
+        for s, packed in zip(batch.column("shard").to_pylist(), batch.column("symbols").to_pylist(), strict=True):
+            if s != shard:
+                if shard is not None:
+                    seen += fit(v, held, optimizer) if held else 0
+                    yield done()
+                shard, optimizer, seen, held, size = s, Adam(start.copy()), 0, [], 0
+            held.append(np.frombuffer(packed, "<i2").astype(np.int32))
+            size += len(held[-1])
+            if size >= LANES * PIECE * 16:
+                seen += fit(v, held, optimizer)
+                held, size = [], 0
+    if shard is not None:
+        seen += fit(v, held, optimizer) if held else 0
+        yield done()
+
+
+def learn(texts: DataFrame) -> tuple[Vocabulary, np.ndarray, DataFrame]:
+    """Vocabulary, weights and the table of all counts, from columns ``key`` (tells texts apart) and ``text``."""
+    one_thread(texts.sparkSession)
+    counts = texts.select("text").mapInArrow(_count, "token long, kind int, n long").groupBy("token").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"))
     counts = saved(counts, "counts")
     kinds = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     head = counts.orderBy(F.desc("n"), "token").limit(HEAD).toArrow()
     vocabulary = Vocabulary(head, kinds, sum(n for n, _ in kinds.values()), sum(v for _, v in kinds.values()))
-    w = fresh(vocabulary)
+    flat = fresh(vocabulary)
+    if not vocabulary.total:
+        return vocabulary, flat, counts
     context = texts.sparkSession.sparkContext
-    tasks = texts.rdd.getNumPartitions() if vocabulary.total else 0
-    for turn in range(ROUNDS if tasks else 0):
-        shipped = context.broadcast((vocabulary, w))
-
-        def train(batches, shipped=shipped, turn=turn):
-            v, start = shipped.value
-            own = {k: x.copy() for k, x in start.items()}
-            optimizer, seen, held, size = Adam(own), 0, [], 0
-            for batch in batches:
-                keys, kinds, cuts = tokens(batch.column(0))
-                symbol = v.symbols(keys, kinds)[0]
-                # a text's pieces take turns; the round of its first one is by a hash of its length and end
-                shift = (mix(np.diff(cuts).astype(np.uint64) ^ keys[np.maximum(cuts[1:] - 2, 0)]) % np.uint64(ROUNDS)).astype(np.int64) if len(keys) else []
-                for k in range(len(cuts) - 1):
-                    for a in range(int(cuts[k]) + PIECE * int((turn + shift[k]) % ROUNDS), int(cuts[k + 1]), PIECE * ROUNDS):
-                        held.append(symbol[a : min(a + PIECE, int(cuts[k + 1]))])
-                        size += len(held[-1])
-                        if size >= LANES * PIECE * 16:
-                            seen += fit(own, v, held, optimizer)
-                            held, size = [], 0
-            if held:
-                seen += fit(own, v, held, optimizer)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([_pack(own)], pa.binary())], names=["n", "weights"])
-
-        mean = _averaged(texts.mapInArrow(train, "n double, weights binary"), tasks)
-        w = _unpack(mean) if mean else w
-        shipped.unpersist()
-    return vocabulary, w, counts
+    shards = -(-vocabulary.total // SHARD)
+    shipped = context.broadcast(vocabulary)
+    pieces = saved(texts.select("key", "text").mapInArrow(lambda batches: _pieces(batches, shipped.value, shards), "shard int, turn int, place long, symbols binary"), "pieces")
+    for turn in range(ROUNDS):
+        start = context.broadcast(flat)
+        mine = spread(pieces.where(F.col("turn") == turn).select("shard", "place", "symbols"), "shard").sortWithinPartitions("shard", "place", "symbols")
+        trained = mine.mapInArrow(lambda batches, start=start: _train(batches, shipped.value, start.value), "shard int, n double, weights binary")
+        mean = _averaged(trained, shards)
+        flat = flat if mean is None else mean
+        start.unpersist()
+    release(pieces)
+    return vocabulary, flat, counts
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 5, held: int = 1) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``
     of each row; rows with crc32(id) mod ``fold`` = ``held`` are not learned from."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, fold) == held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    vocabulary, w, counts = learn(rows.where("not held_out").select("text"))
-    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, w))  # HEAD counts and the network: fixed size
+    vocabulary, flat, counts = learn(rows.where("not held_out").select(F.xxhash64("doc_id", "text").alias("key"), "text"))
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))  # HEAD counts and the network: fixed size
 
     def run(batches):
-        v, net = shipped.value
+        v, net = shipped.value[0], views(shipped.value[1], shipped.value[0])
         for batch in batches:
             keys, kinds, cuts = tokens(batch.column("text"))
             n = len(cuts) - 1
             owner = np.repeat(np.arange(n), np.diff(cuts))
-            symbol, tail = v.symbols(keys, kinds)
             at, known = find(v.keys, keys)
-            logs = np.log10(v.counts[at[known]] + 0.5)
-            base = np.bincount(owner[known], weights=logs, minlength=n)
+            symbol = np.where(known, v.key_symbol[at] if len(v.keys) else -1, -1)
+            tail = symbol < 0
+            symbol = np.where(tail, v.symbol[v.top + kinds], symbol)
+            base = np.bincount(owner[known], weights=v.key_log[at[known]], minlength=n)
             own = log10_probabilities(net, v, [symbol[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
             inside = known & tail
-            own += np.bincount(owner[inside], weights=np.log10(v.counts[at[inside]] + 0.5), minlength=n)
-            own -= np.bincount(owner[tail], weights=np.log10(v.tail_mass[kinds[tail]]), minlength=n)
+            own += np.bincount(owner[inside], weights=v.key_log[at[inside]], minlength=n)
+            own -= np.bincount(owner[tail], weights=v.tail_log[kinds[tail]], minlength=n)
             rare = keys[~known].view(np.int64)
             split = np.concatenate([[0], np.cumsum(np.bincount(owner[~known], minlength=n))])
             yield pa.RecordBatch.from_arrays(
