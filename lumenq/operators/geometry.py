@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 from ..functions import boxes as bx
 from .folds import folded
 
+#: Whole numbers below it, and differences of two, are exact as doubles.
+EXACT = 2.0**52
+
 
 def iou_join(a: DataFrame, b: DataFrame, key: str, threshold: float, cell: int = 64, left: str = "a", right: str = "b") -> DataFrame:
     """Pairs of boxes of one key with IoU of at least ``threshold`` (> 0). Boxes
@@ -168,7 +171,17 @@ def sampled_frames(total: Column, n: int) -> Column:
 
 
 def line_fit(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    return points.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    """Least squares line of each key; null for points of one x. Of whole numbers
+    the sums are exact and divided once, so the order of the rows changes
+    nothing; others, or sums beyond EXACT, go by running moments."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x).cast("double")), F.when(F.col(x).isNotNull(), F.col(y).cast("double"))
+    sums = {"_n": F.count(a).cast("double"), "_x": F.sum(a), "_y": F.sum(b), "_xx": F.sum(a * a), "_xy": F.sum(a * b), "_yy": F.sum(b * b), "_whole": F.bool_and((a == F.rint(a)) & (b == F.rint(b)))}
+    moments = points.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), *[c.alias(n) for n, c in sums.items()])
+    n, sx, sy, sxx, sxy, syy = (F.col(c) for c in ("_n", "_x", "_y", "_xx", "_xy", "_yy"))
+    exact = F.col("_whole") & (F.greatest(n * sxx, n * syy, F.abs(sy * sxx), F.abs(sx * sxy)) < EXACT)
+    under = n * sxx - sx * sx
+    fit = lambda over, rough: F.when(exact & (under > 0), over / under).otherwise(F.col(rough)).alias(rough)
+    return moments.select(key, fit(n * sxy - sx * sy, "slope"), fit(sy * sxx - sx * sxy, "intercept"))
 
 
 def assemble_text(words: DataFrame, page: list[str], line: str, x: str, text: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Sources, streams, functions and geometry that no oracle query covers."""
 
+import itertools
 import json
 import random
 
@@ -220,3 +221,18 @@ def test_streams(spark, tmp_path):
     assert sorted((r.k, r.n) for r in counts.collect()) == [("a", 1), ("a", 1), ("b", 1)]
     gaps = files.to_memory(files.sessions(events, "ts", "6 minutes", ["k"], F.count("*").alias("n")), "gaps", "complete")
     assert sorted((r.k, r.n) for r in gaps.collect()) == [("a", 2), ("b", 1)]
+
+
+def test_line_fit_is_exact_in_every_order(spark):
+    lines = [[(7, 10), (7, 15), (71, 15)], [(0, 0), (1, 5), (2, 5), (9, 30)], [(3, 1), (3, 9)]]
+    data = [(f"{k} {m}", x, y) for k, line in enumerate(lines) for m, order in enumerate(itertools.permutations(line)) for x, y in [*order, (None, 3), (4, None)]]
+    points = spark.createDataFrame(data, "img string, x long, y long").coalesce(1)
+    for shift, kind in ((0, "long"), (20, "double")):
+        for r in geometry.line_fit(points.select("img", (F.col("x") + shift).cast(kind).alias("x"), F.col("y").cast(kind).alias("y")), "img", "x", "y").collect():
+            line = [(x + shift, y) for x, y in lines[int(r.img.split()[0])]]
+            n, sx, sy, sxx, sxy = len(line), sum(x for x, _ in line), sum(y for _, y in line), sum(x * x for x, _ in line), sum(x * y for x, y in line)
+            under = n * sxx - sx * sx
+            want = ((n * sxy - sx * sy) / under, (sy * sxx - sx * sxy) / under) if under else (None, None)
+            assert (r.slope, r.intercept) == want
+    rough = geometry.line_fit(spark.createDataFrame([(1, 1e12 + x, 2.5 * x) for x in (0.5, 1.5, 2.0)] + [(2, 1e12 + x, 3.0 * x) for x in range(3)], "img long, x double, y double"), "img", "x", "y").collect()
+    assert {r.img: round(r.slope, 2) for r in rough} == {1: 2.5, 2: 3.0}
