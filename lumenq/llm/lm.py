@@ -34,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Prefix, chunks, find, lowered, mix, one_thread, release, remainder, runs, saved, separators, spread, text_bytes
+from .shared import Prefix, chunks, lowered, mix, one_thread, release, remainder, runs, saved, spread, text_bytes
 
 MODEL_WORDS, TAIL, CLASSES, HIDDEN, HEAD = 2048, 32, 48, 24, 1 << 18
 PIECE, SHARD, ROUNDS, STEPS, LANES, RATE = 64, 1 << 20, 2, 16, 64, 0.01
 SCORE_LANES, WINDOW, STEEP = 512, 32, 80
+BLOCK = 1 << 14  # weights of a step taken at once
 END = np.uint64(0x5E4D0FE4D)
 _KINDS = TAIL  # the end token has a bucket of its own
 
@@ -51,7 +52,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i, j in chunks(offsets):
         mine = lowered(data[offsets[i] : offsets[j]])
         cut = offsets[i : j + 1] - offsets[i]
-        starts, ends, owner = runs(~separators()[mine], cut)
+        starts, ends, owner = runs((mine != 0x20) & (mine - np.uint8(0x09) > 4), cut)
         here = np.bincount(owner, minlength=j - i)
         many[i:j] += here
         last = mine[ends - 1].astype(np.uint64) << np.uint64(8)
@@ -66,10 +67,39 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _count(batches):
     for batch in batches:
         keys, kinds, _ = tokens(batch.column(0))
-        keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        keys, n, first = keys[first], np.diff(np.append(first, len(keys))), order[first]
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds[first]), pa.array(n, pa.int64())], names=["token", "kind", "n"])
 
 
+class Places:
+    """Places of hashes in a sorted array of them: a table by their first bits
+    leads to the few that share these."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(8, len(keys).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.append(keys, np.uint64(0))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
+
+    def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``find``; the place of a hash that is not there is of no use."""
+        bucket = (wanted >> self.shift).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        known = (self.keys[at] == wanted) & (at < end)
+        left = np.flatnonzero(~known & (end - at > 1))
+        while len(left):
+            at[left] += 1
+            here = at[left]
+            hit = self.keys[here] == wanted[left]
+            known[left] = hit
+            left = left[~hit & (here + 1 < end[left])]
+        at[at == len(self.keys) - 1] = 0
+        return at, known
+
+
 class Vocabulary:
     """Exact counts of the frequent tokens, and the symbols with their classes."""
 
@@ -108,9 +138,9 @@ class Vocabulary:
         self.key_symbol[np.searchsorted(self.keys, key[:top])] = self.symbol[:top]
         self.key_log, self.tail_log = np.log10(self.counts + 0.5), np.log10(self.tail_mass)
 
-    def symbols(self, keys: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol of each token, and which are in a bucket."""
-        at, known = find(self.word_keys, keys)
+    def symbols(self, keys: np.ndarray, kinds: np.ndarray, places: Places | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol of each token, and which are in a bucket; ``places`` are those of ``word_keys``."""
+        at, known = (places or Places(self.word_keys))(keys)
         place = np.where(known, self.word_rank[at] if self.top else 0, self.top + kinds)
         return self.symbol[place], ~known
 
@@ -139,21 +169,23 @@ def fresh(v: Vocabulary) -> np.ndarray:
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> None:
-    """In place."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    np.reciprocal(x, out=x)
+def turned(u: np.ndarray) -> np.ndarray:
+    """State weights as ``cell`` takes them: those of the gates with the other sign."""
+    u = u.copy()
+    u[:, : 2 * HIDDEN] *= -1
+    return u
 
 
 def cell(u: np.ndarray, h: np.ndarray, gates: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One step of the gated unit: state after it, and the state's part in the
     new value. ``gates`` (update, reset) and ``new`` hold what the symbols put
-    in, and afterwards their values."""
+    in, that of the gates with the other sign (as in ``turned``), and afterwards
+    their values."""
     s = h @ u
     gates += s[:, : 2 * HIDDEN]
-    _sigmoid(gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
     side = s[:, 2 * HIDDEN :]
     new += gates[:, HIDDEN:] * side
     np.tanh(new, out=new)
@@ -163,38 +195,51 @@ def cell(u: np.ndarray, h: np.ndarray, gates: np.ndarray, new: np.ndarray) -> tu
     return out, side
 
 
-def output(w: dict, v: Vocabulary, h: np.ndarray, symbol: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+def by_class(w: dict, v: Vocabulary) -> list[np.ndarray]:
+    """Views of the output weights, class by class; they follow the weights."""
+    return [w["wo"][a:b] for a, b in zip(v.cuts[:-1].tolist(), v.cuts[1:].tolist(), strict=True)]
+
+
+def output(w: dict, v: Vocabulary, h: np.ndarray, symbol: np.ndarray, grads: dict | None = None, members: tuple | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each symbol given the state before it; with
-    ``grads`` (zero before) also the gradient of the negative sum by state, and by weight."""
-    order = np.argsort(v.cls[symbol], kind="stable")
-    symbol = symbol[order]
+    ``grads`` (zero before) also the gradient of the negative sum by state, and by weight.
+    ``members``: ``by_class`` of the weights and of the gradients, where a caller keeps them."""
+    inside, inside_grads = members or (by_class(w, v), None if grads is None else by_class(grads, v))
+    cls = v.cls.astype(np.int16)[symbol]
+    order = np.argsort(cls, kind="stable")  # of 16-bit numbers: by radix
+    symbol, cls = symbol[order], cls[order]
     one = np.ones((len(h), HIDDEN + 1), h.dtype)  # the state and a constant for the bias
     one[:, :HIDDEN] = h[order]
-    cls, rows = v.cls[symbol], np.arange(len(order))
     p = one @ w["wc"]
-    p -= p.max(1, keepdims=True)
-    out = p[rows, cls]
+    np.clip(p, -STEEP, STEEP, out=p)  # in reach of exp; classes are few and small, so their sums are too
+    hit = np.arange(0, p.size, p.shape[1]) + cls
+    out = p.ravel()[hit]
     np.exp(p, out=p)
-    total = p.sum(1)
+    total = p @ np.ones(p.shape[1], p.dtype)
     out -= np.log(total)
     back = None
     if grads is not None:
-        p /= total[:, None]
-        p[rows, cls] -= 1
+        p *= (1 / total)[:, None]
+        p.ravel()[hit] -= 1
         np.matmul(one.T, p, out=grads["wc"])
         back = p @ w["wc"].T
     # the symbols of each token's class, one token after another
-    wide = np.diff(v.cuts)[cls]
+    size = np.diff(v.cuts)
+    many = np.bincount(cls, minlength=len(size))
+    wide = size[cls]
     starts = np.cumsum(wide)
     flat = np.empty(int(starts[-1]), h.dtype)
     starts -= wide
-    bounds = np.searchsorted(cls, np.arange(len(v.cuts)))
-    begins = np.append(starts, len(flat))[bounds]
-    parts = [(slice(bounds[c], bounds[c + 1]), slice(v.cuts[c], v.cuts[c + 1]), flat[begins[c] : begins[c + 1]].reshape(bounds[c + 1] - bounds[c], -1)) for c in np.flatnonzero(np.diff(bounds)).tolist()]
-    for mine, members, part in parts:
-        np.matmul(one[mine], w["wo"][members].T, out=part)
+    bounds, begins = np.cumsum(many).tolist(), np.cumsum(many * size).tolist()
+    parts, a, i = [], 0, 0
+    for c, (b, j) in enumerate(zip(bounds, begins, strict=True)):
+        if b > a:
+            rows, part = one[a:b], flat[i:j].reshape(b - a, -1)
+            np.matmul(rows, inside[c].T, out=part)
+            parts.append((c, a, b, rows, part))
+        a, i = b, j
     hit = starts + symbol - v.cuts[cls]
-    np.clip(flat, -STEEP, STEEP, out=flat)  # in reach of exp; classes are small, so their sums are too
+    np.clip(flat, -STEEP, STEEP, out=flat)
     out += flat[hit]
     np.exp(flat, out=flat)
     total = np.add.reduceat(flat, starts)
@@ -204,58 +249,69 @@ def output(w: dict, v: Vocabulary, h: np.ndarray, symbol: np.ndarray, grads: dic
     if grads is not None:
         flat *= np.repeat(1 / total, wide)
         flat[hit] -= 1
-        for mine, members, part in parts:
-            np.matmul(part.T, one[mine], out=grads["wo"][members])
-            back[mine] += part @ w["wo"][members]
+        own = np.empty_like(one)
+        for c, a, b, rows, part in parts:
+            np.matmul(part.T, rows, out=inside_grads[c])
+            np.matmul(part, inside[c], out=own[a:b])
+        back += own
         states = np.empty_like(h)
         states[order] = back[:, :HIDDEN]
     return logp, states
 
 
-def gradients(w: dict, v: Vocabulary, h: np.ndarray, symbol: np.ndarray, begin: np.ndarray, grads: dict) -> tuple[float, np.ndarray]:
+def gradients(w: dict, v: Vocabulary, h: np.ndarray, symbol: np.ndarray, begin: np.ndarray, grads: dict, members: tuple | None = None) -> tuple[float, np.ndarray]:
     """Truncated back-propagation over one window (steps x lanes; symbol -1 is
     padding, ``begin`` marks first tokens): loss and state after it; the
     gradients go to ``grads``, zero before. What does not need the step before is
     worked out for the whole window at once."""
     steps, lanes = symbol.shape
     real = symbol >= 0
+    every = bool(real.all())  # then nothing is to be picked out
     fed = np.maximum(symbol, 0)
-    gates, new = w["x"][:, : 2 * HIDDEN][fed], w["x"][:, 2 * HIDDEN :][fed]
+    put, u = np.take(w["x"], fed, axis=0), turned(w["u"])
+    gates, new = np.negative(put[:, :, : 2 * HIDDEN]), put[:, :, 2 * HIDDEN :].copy()
     before, side = np.empty_like(new), np.empty_like(new)
     fresh_at = begin.any(1).tolist()
     for t in range(steps):
         if fresh_at[t]:
             h = np.where(begin[t][:, None], new.dtype.type(0), h)
         before[t] = h
-        h, side[t] = cell(w["u"], h, gates[t], new[t])
-    logp, back = output(w, v, before[real], symbol[real], grads)
-    dh_all = np.zeros_like(before)
-    dh_all[real] = back  # from the output; the loop adds what comes back through time
+        h, side[t] = cell(u, h, gates[t], new[t])
+    logp, back = output(w, v, before.reshape(-1, HIDDEN) if every else before[real], symbol.ravel() if every else symbol[real], grads, members)
+    if every:
+        dh_all = back.reshape(before.shape)
+    else:
+        dh_all = np.zeros_like(before)
+        dh_all[real] = back  # from the output; the loop adds what comes back through time
     update, reset = gates[..., :HIDDEN], gates[..., HIDDEN:]
     by_new = (1 - update) * (1 - new * new)
     # of the update gate, the reset gate and the state's part in the new value, by the state's gradient
-    ds = np.empty((steps, lanes, 3, HIDDEN), new.dtype)
+    # and of the state itself, which comes back as it is
+    ds = np.empty((steps, lanes, 4, HIDDEN), put.dtype)
     ds[:, :, 0] = (before - new) * update * (1 - update)
-    ds[:, :, 1] = by_new * side * reset * (1 - reset)
     ds[:, :, 2] = by_new * reset
-    dh = np.zeros((lanes, HIDDEN), new.dtype)
-    u_back = np.ascontiguousarray(w["u"].T)
+    ds[:, :, 1] = ds[:, :, 2] * side * (1 - reset)
+    ds[:, :, 3] = update
+    after = np.empty_like(before)  # gradient by the state after each step
+    after[-1] = 0
+    u_back = np.concatenate([w["u"].T, np.eye(HIDDEN, dtype=put.dtype)])
     for t in range(steps - 1, -1, -1):
         part = ds[t]
-        part *= dh[:, None, :]
-        after, dh = dh, part.reshape(lanes, -1) @ u_back
-        dh += after * update[t]
-        dh += dh_all[t]
-        dh_all[t] = after
-        if fresh_at[t]:
-            dh = np.where(begin[t][:, None], new.dtype.type(0), dh)
-    flat = ds.reshape(-1, 3 * HIDDEN)
+        part *= after[t][:, None, :]
+        if t:
+            dh = after[t - 1]
+            np.matmul(part.reshape(lanes, -1), u_back, out=dh)
+            dh += dh_all[t]
+            if fresh_at[t]:
+                dh[begin[t]] = 0
+    flat = ds.reshape(-1, 4 * HIDDEN)[:, : 3 * HIDDEN]
     np.matmul(before.reshape(-1, HIDDEN).T, flat, out=grads["u"])
-    flat[:, 2 * HIDDEN :] = (dh_all * by_new).reshape(-1, HIDDEN)  # now by what the symbols put in
-    fed = fed.ravel()
+    flat[:, 2 * HIDDEN :] = (after * by_new).reshape(-1, HIDDEN)  # now by what the symbols put in
+    fed = fed.ravel().astype(np.int16)
     order = np.argsort(fed, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(fed[order]) > 0]))
-    grads["x"][fed[order][first]] = np.add.reduceat(flat[order], first)
+    fed = fed[order]
+    first = np.flatnonzero(np.concatenate([[True], fed[1:] != fed[:-1]]))
+    grads["x"][fed[first]] = np.add.reduceat(flat[order], first)
     return float(-logp.sum()), h
 
 
@@ -292,42 +348,77 @@ class Lanes:
 
 
 class Adam:
-    """Steps on one vector of weights, in place."""
-
-    def __init__(self, flat: np.ndarray):
-        self.flat, self.t = flat, 0
-        self.mean, self.square, self.spare = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
-
-    def step(self, g: np.ndarray, scale: float) -> None:
-        """``g`` is used up."""
+    """Steps on one vector of weights, in place and by blocks that stay in the
+    processor's cache. The running means are kept without their constant
+    factors, 0.1 and 0.01, which go into the last product. Those of the input
+    weights, the first ``n`` rows, also leave out their decay since ``base``, so
+    that only rows with a gradient change; all rows take their step."""
+
+    def __init__(self, flat: np.ndarray, n: int):
+        self.t = self.base = 0
+        self.first = n * 3 * HIDDEN
+        self.mean, self.square, self.root = (np.zeros((n, 3 * HIDDEN), flat.dtype) for _ in range(3))
+        spare = np.empty(BLOCK, flat.dtype)
+        cuts = lambda a, b: [slice(k, min(k + BLOCK, b)) for k in range(a, b, BLOCK)]
+        self.inputs = [(flat[c], self.mean.ravel()[c], self.root.ravel()[c], spare[: c.stop - c.start]) for c in cuts(0, self.first)]
+        self.others = [(c, flat[c], np.zeros_like(flat[c]), np.zeros_like(flat[c]), spare[: c.stop - c.start]) for c in cuts(self.first, len(flat))]
+        self.flat = flat
+
+    def step(self, g: np.ndarray, scale: float, rows: np.ndarray) -> None:
+        """``rows`` of the input weights have a gradient; that of the others is zero afterwards."""
         self.t += 1
-        g *= np.float32(scale)
-        np.clip(g, -1, 1, out=g)
-        spare = self.spare
-        np.multiply(g, g, out=spare)
-        spare -= self.square
-        spare *= np.float32(0.01)
-        self.square += spare
-        g -= self.mean
-        g *= np.float32(0.1)
-        self.mean += g
-        np.multiply(self.square, np.float32(1 / (1 - 0.99**self.t)), out=spare)
-        np.sqrt(spare, out=spare)
-        spare += np.float32(1e-6)
-        np.divide(self.mean, spare, out=spare)
-        spare *= np.float32(RATE / (1 - 0.9**self.t))
-        self.flat -= spare
+        by = (0.01 / (1 - 0.99**self.t)) ** 0.5
+        scale, least, rate = np.float32(scale), 1e-6 / by, RATE * 0.1 / (1 - 0.9**self.t) / by
+        late = self.t - self.base
+        mine = g[: self.first].reshape(self.mean.shape)[rows]
+        mine *= scale
+        np.clip(mine, -1, 1, out=mine)
+        self.mean[rows] += mine * np.float32(0.9**-late)
+        mine *= mine
+        mine *= np.float32(0.99**-late)
+        mine += self.square[rows]
+        self.square[rows] = mine
+        self.root[rows] = np.sqrt(mine, out=mine)
+        shrunk = 0.99 ** (late / 2)
+        add, times = np.float32(least / shrunk), np.float32(rate * 0.9**late / shrunk)
+        for flat, mean, root, spare in self.inputs:
+            np.add(root, add, out=spare)
+            np.divide(mean, spare, out=spare)
+            spare *= times
+            flat -= spare
+        if late == 128:
+            self.mean *= np.float32(0.9**late)
+            self.square *= np.float32(0.99**late)
+            self.root *= np.float32(shrunk)
+            self.base = self.t
+        least, rate = np.float32(least), np.float32(rate)
+        for cut, flat, mean, square, spare in self.others:
+            mine = g[cut]
+            mine *= scale
+            np.clip(mine, -1, 1, out=mine)
+            mean *= np.float32(0.9)
+            mean += mine
+            mine *= mine
+            square *= np.float32(0.99)
+            square += mine
+            mine.fill(0)
+            np.sqrt(square, out=spare)
+            spare += least
+            np.divide(mean, spare, out=spare)
+            spare *= rate
+            flat -= spare
 
 
 def fit(v: Vocabulary, pieces: list[np.ndarray], optimizer: Adam) -> int:
-    w, g = views(optimizer.flat, v), np.empty_like(optimizer.flat)
+    w, g = views(optimizer.flat, v), np.zeros_like(optimizer.flat)
     grads, seen = views(g, v), 0
+    members = by_class(w, v), by_class(grads, v)
     h = np.zeros((LANES, HIDDEN), np.float32)
     for symbol, begin, _ in Lanes(pieces, LANES).windows(STEPS):
-        g[:] = 0
-        _, h = gradients(w, v, h[: symbol.shape[1]], symbol, begin, grads)
-        n = int((symbol >= 0).sum())
-        optimizer.step(g, 1 / n)
+        _, h = gradients(w, v, h[: symbol.shape[1]], symbol, begin, grads, members)
+        many = np.bincount(symbol[symbol >= 0], minlength=len(v.cls))
+        n = int(many.sum())
+        optimizer.step(g, 1 / n, np.flatnonzero(many))
         seen += n
     return seen
 
@@ -338,18 +429,21 @@ def log10_probabilities(w: dict, v: Vocabulary, pieces: list[np.ndarray]) -> np.
     if not pieces:
         return out
     h = np.zeros((SCORE_LANES, HIDDEN), np.float32)
-    for_gates, for_new = (np.ascontiguousarray(x) for x in np.split(w["x"], [2 * HIDDEN], axis=1))
+    for_gates, for_new, u = -w["x"][:, : 2 * HIDDEN], w["x"][:, 2 * HIDDEN :].copy(), turned(w["u"])
+    members = by_class(w, v), None
     for symbol, begin, piece in Lanes(pieces, SCORE_LANES).windows(WINDOW):
-        h, fresh_at = h[: symbol.shape[1]], begin.any(1)
+        h, fresh_at, put = h[: symbol.shape[1]], begin.any(1).tolist(), np.maximum(symbol, 0)
         before = np.empty((*symbol.shape, HIDDEN), np.float32)
         for t in range(len(symbol)):
             if fresh_at[t]:
                 h = np.where(begin[t][:, None], np.float32(0), h)
             before[t] = h
-            put = np.maximum(symbol[t], 0)
-            h = cell(w["u"], h, for_gates[put], for_new[put])[0]
+            h = cell(u, h, np.take(for_gates, put[t], axis=0), np.take(for_new, put[t], axis=0))[0]
         real = symbol >= 0
-        logp, _ = output(w, v, before[real], symbol[real])
+        if real.all():  # then nothing is to be picked out
+            real, before = slice(None), before.reshape(-1, HIDDEN)
+            symbol, piece = symbol.ravel(), piece.ravel()
+        logp, _ = output(w, v, before[real], symbol[real], members=members)
         out += np.bincount(piece[real], weights=logp, minlength=len(pieces))
     return out / np.log(10)
 
@@ -387,9 +481,10 @@ def _averaged(trained: DataFrame, shards: int) -> np.ndarray | None:
 
 def _pieces(batches, v: Vocabulary, shards: int):
     """Pieces of texts as packed symbols, with the shard, round and place of each."""
+    places = Places(v.word_keys)
     for batch in batches:
         keys, kinds, cuts = tokens(batch.column("text"))
-        symbol = v.symbols(keys, kinds)[0].astype("<i2")
+        symbol = v.symbols(keys, kinds, places)[0].astype("<i2")
         many = -(-np.diff(cuts) // PIECE)
         owner = np.repeat(np.arange(len(many)), many)
         index = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
@@ -412,7 +507,7 @@ def _train(batches, v: Vocabulary, start: np.ndarray):
                 if shard is not None:
                     seen += fit(v, held, optimizer) if held else 0
                     yield done()
-                shard, optimizer, seen, held, size = s, Adam(start.copy()), 0, [], 0
+                shard, optimizer, seen, held, size = s, Adam(start.copy(), len(v.cls)), 0, [], 0
             held.append(np.frombuffer(packed, "<i2").astype(np.int32))
             size += len(held[-1])
             if size >= LANES * PIECE * 16:
@@ -458,23 +553,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
 
     def run(batches):
         v, net = shipped.value[0], views(shipped.value[1], shipped.value[0])
+        places = Places(v.keys)
         for batch in batches:
             keys, kinds, cuts = tokens(batch.column("text"))
             n = len(cuts) - 1
-            owner = np.repeat(np.arange(n), np.diff(cuts))
-            at, known = find(v.keys, keys)
+            at, known = places(keys)
             symbol = np.where(known, v.key_symbol[at] if len(v.keys) else -1, -1)
             tail = symbol < 0
             symbol = np.where(tail, v.symbol[v.top + kinds], symbol)
-            base = np.bincount(owner[known], weights=v.key_log[at[known]], minlength=n)
+            logs = np.where(known, v.key_log[at] if len(v.keys) else 0.0, 0.0)
+            total = lambda values: np.add.reduceat(values, cuts[:-1]) if n else values  # noqa: E731 - every text has a token
+            base = total(logs)
             own = log10_probabilities(net, v, [symbol[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            inside = known & tail
-            own += np.bincount(owner[inside], weights=v.key_log[at[inside]], minlength=n)
-            own -= np.bincount(owner[tail], weights=v.tail_log[kinds[tail]], minlength=n)
+            own += total(np.where(tail, logs - v.tail_log[kinds], 0.0))
             rare = keys[~known].view(np.int64)
-            split = np.concatenate([[0], np.cumsum(np.bincount(owner[~known], minlength=n))])
+            n_known = total(known.astype(np.int64))
+            split = np.concatenate([[0], np.cumsum(np.diff(cuts) - n_known)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(cuts), pa.int64()), pa.array(np.bincount(owner[known], minlength=n), pa.int64()), pa.array(base), pa.array(own), pa.ListArray.from_arrays(pa.array(split, pa.int32()), pa.array(rare))],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(cuts), pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(own), pa.ListArray.from_arrays(pa.array(split, pa.int32()), pa.array(rare))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "base", "own", "rare"],
             )
 

@@ -88,6 +88,34 @@ def test_gradients_match_differences():
             assert abs((up - down) / 2e-5 - grads[k][at]) < 1e-5 * max(1, abs(grads[k][at])), k
 
 
+def test_steps_are_those_of_plain_adam():
+    rng = np.random.default_rng(4)
+    n, width = 60, 3 * lm.HIDDEN
+    flat = rng.normal(size=n * width + 500).astype(np.float32)
+    want, mean, square = flat.astype(np.float64), np.zeros(len(flat)), np.zeros(len(flat))
+    adam = lm.Adam(flat, n)
+    for t in range(1, 401):  # over several renewals of the decay that is left out
+        rows = np.flatnonzero(rng.random(n) < np.where(np.arange(n) < 5, 0.004, 0.3))
+        g = rng.normal(0, 3, len(flat)).astype(np.float32)
+        with_gradient = np.ones(len(flat), bool)
+        with_gradient[: n * width] = np.repeat(np.isin(np.arange(n), rows), width)
+        x = np.clip(g * 0.5, -1, 1) * with_gradient
+        mean, square = 0.9 * mean + 0.1 * x, 0.99 * square + 0.01 * x * x
+        want -= lm.RATE * mean / (1 - 0.9**t) / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
+        adam.step(g, 0.5, rows)
+        assert not g[n * width :].any()
+    assert np.abs(flat - want).max() < 1e-4
+
+
+def test_places_of_hashes():
+    rng = np.random.default_rng(5)
+    keys = np.unique(np.append(rng.integers(0, 1 << 64, 3000, dtype=np.uint64), np.arange(40, dtype=np.uint64) << np.uint64(3)))  # some share their first bits
+    for some in (keys, keys[:1], keys[:0], keys[-1:]):
+        wanted = np.concatenate([keys, keys + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+        at, known = lm.Places(some)(wanted)
+        assert (known == np.isin(wanted, some)).all() and (some[at[known]] == wanted[known]).all()
+
+
 def test_state_is_carried_over_windows(monkeypatch):
     v = small()
     w = lm.views(lm.fresh(v), v)
