@@ -39,7 +39,7 @@ from .shared import Prefix, chunks, lowered, mix, one_thread, release, remainder
 MODEL_WORDS, TAIL, CLASSES, HIDDEN, HEAD = 2048, 32, 48, 24, 1 << 18
 PIECE, SHARD, ROUNDS, STEPS, LANES, RATE = 64, 1 << 20, 2, 16, 64, 0.01
 SCORE_LANES, WINDOW, STEEP = 512, 32, 80
-BLOCK = 1 << 14  # weights of a step taken at once
+BLOCK, BYTES = 1 << 14, 1 << 17  # weights of a step and bytes of text taken at once: what stays in the cache
 END = np.uint64(0x5E4D0FE4D)
 _KINDS = TAIL  # the end token has a bucket of its own
 
@@ -49,7 +49,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
     n = len(offsets) - 1
     keys, kinds, many = [], [], np.ones(n, np.int64)
-    for i, j in chunks(offsets):
+    for i, j in chunks(offsets, BYTES):
         mine = lowered(data[offsets[i] : offsets[j]])
         cut = offsets[i : j + 1] - offsets[i]
         starts, ends, owner = runs((mine != 0x20) & (mine - np.uint8(0x09) > 4), cut)
